@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import trie_join
+from inkwell.llm import history, leakage, lookalike, trie_join
 from inkwell.runtime import read
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     links, members = trie_join.near_duplicates(read(spark, folder, "documents"), "doc_id", "text")
     return trie_join.pairs_of_records(links, members).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = history.check_batch(read(spark, folder, "metadata_all")).cases
+    return found.select(F.col("a").alias("rec_no_a"), F.col("b").alias("rec_no_b"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(read(spark, folder, "documents"), read(spark, folder, "eval_items"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalike.lookalikes(read(spark, folder, "documents"), "doc_id", "text").select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalike.forms(read(spark, folder, "documents"), "doc_id", "text").select(F.col("rec").alias("doc_id"), "form")
