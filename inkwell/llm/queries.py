@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import history, leakage, lookalike, trie_join
-from inkwell.runtime import read
+from inkwell.llm import hash_forest, history, leakage, lookalike, packing, tokens, trie_join
+from inkwell.runtime import bounded_rows, read, written
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -14,6 +14,12 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return trie_join.pairs_of_records(links, members).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = read(spark, folder, "embedded_chunk").where("embedding_model = 'lit-embed-64'")
+    near = hash_forest.most_similar(chunks, "chunk_id", "embedding", k=5, dim=64, least=0.85)
+    return near.select(F.least("a", "b").alias("chunk_id_a"), F.greatest("a", "b").alias("chunk_id_b")).distinct()
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     found = history.check_batch(read(spark, folder, "metadata_all")).cases
     return found.select(F.col("a").alias("rec_no_a"), F.col("b").alias("rec_no_b"))
@@ -29,3 +35,40 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.forms(read(spark, folder, "documents"), "doc_id", "text").select(F.col("rec").alias("doc_id"), "form")
+
+
+def counted_documents(spark: SparkSession, folder: str, how: str = "pair_merge") -> DataFrame:
+    """doc_id, source, lang, domain, source_type, tokens, under the tokenizer named in context_windows."""
+    keep = ["doc_id", "source", "lang", "domain", "source_type"]
+    return tokens.token_counts(read(spark, folder, "documents"), keep, "text", name=named_vocabulary(spark, folder), how=how)
+
+
+def named_vocabulary(spark: SparkSession, folder: str) -> str:
+    names = {r[0] for r in bounded_rows(read(spark, folder, "context_windows").select("tokenizer").distinct(), 100, "the tokenizers in use")}
+    if len(names) != 1:
+        raise ValueError(f"context_windows must name one tokenizer, not {sorted(map(str, names))}")
+    name = names.pop()
+    return tokens.STAND_INS.get(name, name)
+
+
+def p3_token_budget(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals over documents and chunks; a chunk's journal is its source, its language and domain are not given."""
+    chunks = read(spark, folder, "embedded_chunk").dropDuplicates(["chunk_id"]).select(F.col("journal").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("domain"), "source_type", "text")
+    name = named_vocabulary(spark, folder)
+    counted = tokens.token_counts(chunks, ["source", "lang", "domain", "source_type"], "text", name=name)
+    whole = tokens.budget(counted_documents(spark, folder)).withColumn("kind", F.lit("documents"))
+    return whole.unionByName(tokens.budget(counted).withColumn("kind", F.lit("chunks")))
+
+
+def p3_longest_match(spark: SparkSession, folder: str) -> DataFrame:
+    """The budget of documents under greedy longest match over the same vocabulary."""
+    return tokens.budget(counted_documents(spark, folder, "longest_match"))
+
+
+def p6_assignment(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = written(counted_documents(spark, folder).select("doc_id", "tokens"), "sizes")
+    return packing.assign(sizes, read(spark, folder, "context_windows")).withColumnRenamed("item", "doc_id")
+
+
+def p6_unused(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.unused(p6_assignment(spark, folder))
