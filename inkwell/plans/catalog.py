@@ -2,5 +2,22 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from inkwell.operators import schema_drift
+from inkwell.runtime import read
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    files = schema_drift.schemas(read(spark, folder, "metadata_raw"), "feed", "file_seq", "raw")
+    return schema_drift.top_level(schema_drift.changes(files))
+
+
+def p4_unified(spark: SparkSession, folder: str) -> DataFrame:
+    lines = read(spark, folder, "metadata_raw")
+    compiled = schema_drift.projections(schema_drift.schemas(lines, "feed", "file_seq", "raw"))
+    return schema_drift.unified(lines, compiled, keep=["line_id", "feed", "file_seq", "landed_at"])
+
+
+QUERIES: dict = {"p4_found": p4_found, "p4_unified": p4_unified}
 SQL: dict[str, str] = {}
