@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inkwell.operators import schema_drift
+from inkwell.functions.columns import mentions, words
+from inkwell.functions.vocab import KEYWORDS_1
+from inkwell.operators import chunking, relevance
+from inkwell.plans import queries as q
+from inkwell.plans.oracles import SQL
 from inkwell.runtime import read
 
+QUERIES = {name: f for name, f in vars(q).items() if name.startswith(("q_", "p4_")) and name != "q_xml_clean"}
 
-def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    files = schema_drift.schemas(read(spark, folder, "metadata_raw"), "feed", "file_seq", "raw")
-    return schema_drift.top_level(schema_drift.changes(files))
 
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, gated by tier and keywords, to chunks with a bridge, counted by tier."""
+    docs = relevance.with_tier(read(spark, folder, "documents").withColumnRenamed("source", "journal"), read(spark, folder, "journal_dim"), default="tier3")
+    gated = docs.where(relevance.gate(F.substring("tier", 5, 1).cast("int"), mentions(KEYWORDS_1, "text")))
+    chunks = gated.select("tier", "doc_id", F.explode(chunking.bridged_paragraphs("text", 650, 120)).alias("chunk"))
+    return chunks.groupBy("tier").agg(F.count_distinct("doc_id").alias("articles"), F.count(F.lit(1)).alias("chunks"), F.sum(F.size(words("chunk"))).alias("words"))
 
-def p4_unified(spark: SparkSession, folder: str) -> DataFrame:
-    lines = read(spark, folder, "metadata_raw")
-    compiled = schema_drift.projections(schema_drift.schemas(lines, "feed", "file_seq", "raw"))
-    return schema_drift.unified(lines, compiled, keep=["line_id", "feed", "file_seq", "landed_at"])
 
-
-QUERIES: dict = {"p4_found": p4_found, "p4_unified": p4_unified}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL", "flagship"]
