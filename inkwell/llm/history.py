@@ -31,10 +31,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.prefixes import ceil_div, classes, need, prefix_rows, representatives, verified
+from inkwell.llm.prefixes import ceil_div, classes, need, prefix_rows, representatives, signed_rows, verified
 from inkwell.llm.words import format_characters, shingle_sets
 from inkwell.runtime import written
 
@@ -101,15 +101,10 @@ class Checked:
 def ordered_segments(reps: DataFrame, order: DataFrame, num: int, den: int) -> DataFrame:
     """As ``prefix_rows``, in a given order of shingles; shingles not in it come first and are all kept."""
     grams = reps.select("rec", "n", F.explode("grams").alias("gram")).join(order, "gram", "left")
-    lists = grams.groupBy("rec").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "gram"))).alias("all"))
-    lists = lists.withColumn("all", F.slice("all", 1, F.col("n") - ceil_div(F.col("n") * num, den) + 1))
-
-    def lane(k: int) -> Column:
-        bit = lambda x: F.when(F.shiftrightunsigned(x["gram"], 6).bitwiseAND(F.lit(1)) == k, F.expr("1L")).otherwise(F.expr("0L"))
-        return F.aggregate("all", F.expr("0L"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", bit(x), x["gram"].bitwiseAND(F.lit(63)).cast("int"))))
-
-    lists = lists.select("rec", "n", F.size("all").alias("kept"), lane(0).alias("sig0"), lane(1).alias("sig1"), F.posexplode("all").alias("place", "g"))
-    return lists.select(F.col("g.gram").alias("gram"), "rec", "n", "place", "kept", "sig0", "sig1")
+    entry = F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "gram", F.lit(None).cast("long").alias("owner"))
+    lists = grams.groupBy("rec").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(entry)).alias("all"))
+    lists = lists.withColumn("alone", F.lit(0)).withColumn("all", F.slice("all", 1, F.col("n") - ceil_div(F.col("n") * num, den) + 1))
+    return signed_rows(lists).select(*SEGMENT_COLUMNS)
 
 
 def probe(index: DataFrame, batch: DataFrame, num: int, den: int, within_batch: bool) -> DataFrame:

@@ -51,11 +51,16 @@ def prefix_rows(reps: DataFrame, num: int, den: int) -> DataFrame:
     alone = F.col("n") - F.size("all")
     lists = lists.withColumn("alone", alone).withColumn("head", F.greatest(F.lit(0), F.col("n") - ceil_div(F.col("n") * num, den) + 1 - alone))
     lists = lists.where("head > 0").withColumn("all", F.slice("all", 1, F.col("head")))
+    return signed_rows(lists)
+
+def signed_rows(lists: DataFrame) -> DataFrame:
+    """A row for each of ``all`` (structs with freq, gram, owner, in order) of (rec, n, alone, all), with the parity signature of the list."""
 
     def lane(k: int) -> Column:
         bit = lambda x: F.when(F.shiftrightunsigned(x["gram"], 6).bitwiseAND(F.lit(1)) == k, F.expr("1L")).otherwise(F.expr("0L"))
         return F.aggregate("all", F.expr("0L"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", bit(x), x["gram"].bitwiseAND(F.lit(63)).cast("int"))))
 
+    # before the explode, so that neither the list nor its fold is repeated in each row
     lists = lists.select("rec", "n", "alone", F.size("all").alias("kept"), lane(0).alias("sig0"), lane(1).alias("sig1"), "all")
     return lists.select("rec", "n", "alone", "kept", "sig0", "sig1", F.posexplode("all").alias("k", "g")).select(
         F.col("g.gram").alias("gram"), F.col("g.freq").alias("freq"), F.col("g.owner").alias("owner"), "rec", "n", (F.col("alone") + F.col("k")).alias("place"), "kept", "sig0", "sig1"

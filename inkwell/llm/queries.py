@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import hash_forest, history, leakage, lookalike, packing, tokens, trie_join
-from inkwell.runtime import bounded_rows, read, written
+from inkwell.runtime import bounded_rows, read, shared_folder, written
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,3 +74,25 @@ def p6_assignment(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_unused(spark: SparkSession, folder: str) -> DataFrame:
     return packing.unused(p6_assignment(spark, folder))
+
+
+def p2_last_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """The cases of the newest batch, checked against the history that the batches before it leave."""
+    meta = read(spark, folder, "metadata_all")
+    last = meta.agg(F.max("batch_no")).first()[0]
+    path = f"{shared_folder(spark)}/inkwell-history-{uuid.uuid4().hex}"
+    history.check_batch(meta.where(F.col("batch_no") < last)).added.save(path, "overwrite")
+    found = history.check_batch(meta.where(F.col("batch_no") == last), history.History.load(spark, path)).cases
+    return found.select(F.col("a").alias("rec_no_a"), F.col("b").alias("rec_no_b"))
+
+
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document: its class of equal shingle sets, the class's copies and its number of links."""
+    links, members = trie_join.near_duplicates(read(spark, folder, "documents"), "doc_id", "text")
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    return members.join(degree, "rep", "left").select(F.col("rec").alias("doc_id"), F.col("rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def p7_fuzzy(spark: SparkSession, folder: str) -> DataFrame:
+    """As p7_found, with one word of a window changed, added or missing."""
+    return leakage.leaks(read(spark, folder, "documents"), read(spark, folder, "eval_items"), edits=1)
