@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from inkwell.functions.vocab import KEYWORD_SETS
 from inkwell.functions.xmltext import clean_xml
 from inkwell.operators import articles, chunking, embed, relevance, schema_drift, stats
 from inkwell.plans import pipelines
-from inkwell.runtime import read
+from inkwell.runtime import read, shared_folder
 from inkwell.sources import jsonl, sinks
 from inkwell.streaming.incremental import stream_new_files
 
@@ -288,13 +288,10 @@ def q_embed_attach(spark: SparkSession, folder: str) -> DataFrame:
 
 def q_stream_available_now(spark: SparkSession, folder: str) -> DataFrame:
     """Events read as a stream of files, until no new file is left; equal to the batch result."""
-    from inkwell.runtime import shared_folder
-
-    root = f"{shared_folder(spark)}/stream-{next(tempfile._get_candidate_names())}"
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     events = read(spark, folder, "events")
-    read_as = f"{folder}/events.parquet"
     keep = lambda df: df.select("event_id", "user_id", "event_type", "value")
-    stream_new_files(spark, read_as, events.schema.simpleString().removeprefix("struct<").removesuffix(">"), f"{root}/out", f"{root}/checkpoint", keep, "parquet")
+    stream_new_files(spark, f"{folder}/events.parquet*", events.schema, f"{root}/out", f"{root}/checkpoint", keep, "parquet")
     return spark.read.schema(keep(events).schema).parquet(f"{root}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("user_id").alias("users"))
 
 

@@ -18,9 +18,9 @@ def fulltext_files(spark: SparkSession, root: str, *, missing_ok: bool = False,
     schema = "year int, file_name string, pmcid string, text string"
     if missing_ok and not path_exists(spark, root):
         return spark.createDataFrame([], schema)
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.[tT][xX][tT]")
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[tT][xX][tT]")
     path, name = F.col("_metadata.file_path"), F.col("_metadata.file_name")
-    files = reader.option("ignoreMissingFiles", missing_ok).text(root).select(F.nullif(F.regexp_extract(path, r"/(\d{4})/[^/]+$", 1), F.lit("")).cast("int").alias("year"), name.alias("file_name"), F.col("value").alias("text"))
+    files = reader.option("ignoreMissingFiles", missing_ok).text(root, wholetext=True).select(F.nullif(F.regexp_extract(path, r"/(\d{4})/[^/]+$", 1), F.lit("")).cast("int").alias("year"), name.alias("file_name"), F.col("value").alias("text"))
     files = files.where("year is not null")
     if most_per_year is not None:
         w = Window.partitionBy("year").orderBy("file_name")

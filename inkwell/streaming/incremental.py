@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from inkwell.operators.articles import not_embedded
 from inkwell.sources.jsonl import path_exists
@@ -38,14 +39,14 @@ def resume_embedding(chunks: DataFrame, target: str, embed: Callable[[DataFrame]
     embed(todo).write.mode("append").parquet(target)
 
 
-def stream_new_files(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], format: str = "json") -> None:
+def stream_new_files(spark: SparkSession, source: str, schema: StructType | str, target: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], format: str = "json") -> None:
     """Process the files that came since the last run, once each, and stop. A second run without new files adds nothing."""
     new = spark.readStream.schema(schema).format(format).load(source)
     query = transform(new).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def stream_new_keys(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str, format: str = "json") -> None:
+def stream_new_keys(spark: SparkSession, source: str, schema: StructType | str, target: str, checkpoint: str, key: str, format: str = "json") -> None:
     """As ``stream_new_files``, appending only the first row of each key that ``target`` does not hold."""
 
     def append(batch: DataFrame, _: int) -> None:
