@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import hash_forest, history, leakage, lookalike, packing, tokens, trie_join
-from inkwell.runtime import bounded_rows, read, shared_folder, written
+from inkwell.runtime import bounded_rows, delete_at_end, read, shared_folder, written
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,7 +55,7 @@ def named_vocabulary(spark: SparkSession, folder: str) -> str:
 
 def p3_token_budget(spark: SparkSession, folder: str) -> DataFrame:
     """Totals over documents and chunks; a chunk's journal is its source, its language and domain are not given."""
-    chunks = read(spark, folder, "embedded_chunk").dropDuplicates(["chunk_id"]).select(F.col("journal").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("domain"), "source_type", "text")
+    chunks = read(spark, folder, "embedded_chunk").select("chunk_id", "journal", "source_type", "text").distinct().select(F.col("journal").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("domain"), "source_type", "text")
     name = named_vocabulary(spark, folder)
     counted = tokens.token_counts(chunks, ["source", "lang", "domain", "source_type"], "text", name=name)
     whole = tokens.budget(counted_documents(spark, folder)).withColumn("kind", F.lit("documents"))
@@ -81,6 +81,7 @@ def p2_last_batch(spark: SparkSession, folder: str) -> DataFrame:
     meta = read(spark, folder, "metadata_all")
     last = meta.agg(F.max("batch_no")).first()[0]
     path = f"{shared_folder(spark)}/inkwell-history-{uuid.uuid4().hex}"
+    delete_at_end(spark, path)
     history.check_batch(meta.where(F.col("batch_no") < last)).added.save(path, "overwrite")
     found = history.check_batch(meta.where(F.col("batch_no") == last), history.History.load(spark, path)).cases
     return found.select(F.col("a").alias("rec_no_a"), F.col("b").alias("rec_no_b"))
