@@ -13,7 +13,7 @@ from inkwell.functions.vocab import KEYWORD_SETS
 from inkwell.functions.xmltext import clean_xml
 from inkwell.operators import articles, chunking, embed, relevance, schema_drift, stats
 from inkwell.plans import pipelines
-from inkwell.runtime import read, shared_folder
+from inkwell.runtime import delete_at_end, read, shared_folder
 from inkwell.sources import jsonl, sinks
 from inkwell.streaming.incremental import stream_new_files
 
@@ -289,6 +289,7 @@ def q_embed_attach(spark: SparkSession, folder: str) -> DataFrame:
 def q_stream_available_now(spark: SparkSession, folder: str) -> DataFrame:
     """Events read as a stream of files, until no new file is left; equal to the batch result."""
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    delete_at_end(spark, root)
     events = read(spark, folder, "events")
     keep = lambda df: df.select("event_id", "user_id", "event_type", "value")
     stream_new_files(spark, f"{folder}/events.parquet*", events.schema, f"{root}/out", f"{root}/checkpoint", keep, "parquet")

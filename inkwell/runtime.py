@@ -25,6 +25,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Delete what lies at ``path`` when the driver ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
@@ -34,6 +40,7 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/inkwell-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
