@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from inkwell.functions.vocab import KEYWORD_SETS, PILOT_TIERS, SKIPPED_SECTIONS_V1, SKIPPED_SECTIONS_V2
+from inkwell.operators.schema_drift import FAMILIES
 
 WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -181,3 +182,19 @@ SQL: dict[str, str] = {
     "q_event_props": "SELECT event_id, CAST(props->>'$.k' AS INTEGER) AS k FROM events",
     "q_embed_attach": "SELECT chunk_id, 'hashed-16' AS embedding_model, 16 AS width FROM embedded_chunk",
 }
+
+MEANING = "CASE " + " ".join(f"WHEN k IN ({', '.join(map(text, names))}) THEN 'family {i}'" for i, names in enumerate(FAMILIES)) + " ELSE 'name ' || lower(replace(k, '_', '')) END"
+SQL["p4_found"] = (
+    f"WITH {OBJECTS}, files AS (SELECT feed, file_seq, lag(file_seq) OVER (PARTITION BY feed ORDER BY file_seq) AS before FROM (SELECT DISTINCT feed, file_seq FROM metadata_raw)), "
+    "keyed AS (SELECT r.feed, r.file_seq, o.o, unnest(json_keys(o.o)) AS k FROM objects o JOIN metadata_raw r ON r.line_id = o.line_id), "
+    "typed AS (SELECT feed, file_seq, k, CASE json_type(o, '$.\"' || k || '\"') WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END AS t FROM keyed), "
+    f"f AS (SELECT feed, file_seq, k, {MEANING} AS m, list_sort(list_distinct(list(t) FILTER (t IS NOT NULL))) AS ts FROM typed GROUP BY feed, file_seq, k), "
+    "gone AS (SELECT x.feed, x.file_seq, f.k, f.m, f.ts FROM files x JOIN f ON f.feed = x.feed AND f.file_seq = x.before WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.feed = x.feed AND g.file_seq = x.file_seq AND g.k = f.k)), "
+    "fresh AS (SELECT x.feed, x.file_seq, f.k, f.m, f.ts FROM files x JOIN f ON f.feed = x.feed AND f.file_seq = x.file_seq WHERE x.before IS NOT NULL AND NOT EXISTS (SELECT 1 FROM f g WHERE g.feed = x.feed AND g.file_seq = x.before AND g.k = f.k)), "
+    "ren AS (SELECT g.feed, g.file_seq, g.k AS a, n.k AS b, g.ts AS ta, n.ts AS tb FROM gone g JOIN fresh n ON g.feed = n.feed AND g.file_seq = n.file_seq AND g.m = n.m), "
+    "kept AS (SELECT x.feed, x.file_seq, p.k AS a, q.k AS b, p.ts AS ta, q.ts AS tb FROM files x JOIN f p ON p.feed = x.feed AND p.file_seq = x.before JOIN f q ON q.feed = x.feed AND q.file_seq = x.file_seq AND q.k = p.k) "
+    "SELECT feed, file_seq, a AS field_before, b AS field_after, 'renamed' AS change FROM ren "
+    "UNION ALL SELECT feed, file_seq, k, '', 'removed' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM ren r WHERE r.feed = g.feed AND r.file_seq = g.file_seq AND r.a = g.k) "
+    "UNION ALL SELECT feed, file_seq, '', k, 'added' FROM fresh g WHERE NOT EXISTS (SELECT 1 FROM ren r WHERE r.feed = g.feed AND r.file_seq = g.file_seq AND r.b = g.k) "
+    "UNION ALL SELECT feed, file_seq, a, b, 'retyped' FROM (SELECT * FROM ren UNION ALL SELECT * FROM kept) WHERE len(ta) > 0 AND len(tb) > 0 AND ta <> tb"
+)
