@@ -58,28 +58,33 @@ def trie_nodes(sequences: list[tuple]) -> tuple[dict, list]:
 def block_pairs(seqs: list[tuple], places: list[tuple], sizes: list[int], num: int, den: int) -> Iterator[tuple[int, int, int, int]]:
     """Pairs (x, y, place in x, place in y) of positions in ``seqs`` (sorted) that survive the bounds on subtrees."""
     by_gram, roots = trie_nodes(seqs)
+    both = num + den
+    rests = [[n - p for p in at] for n, at in zip(sizes, places)]
 
     def room(start: int, end: int, depth: int) -> tuple[int, int]:
-        return max(sizes[k] - places[k][depth] for k in range(start, end)), min(sizes[start:end])
+        if end - start == 1:
+            return rests[start][depth], sizes[start]
+        return max(r[depth] for r in rests[start:end]), min(sizes[start:end])
 
-    def hopeless(rest: int, least: int) -> bool:
-        return rest * (num + den) < least * num
+    def below(pairs: Iterator[tuple[int, int]], dx: int, dy: int) -> Iterator[tuple[int, int, int, int]]:
+        """Of pairs below two nodes, those whose own remainders reach what their own sizes need."""
+        for x, y in pairs:
+            rx, ry = rests[x][dx], rests[y][dy]
+            if (rx if rx < ry else ry) * both >= num * (sizes[x] + sizes[y]):
+                yield x, y, places[x][dx], places[y][dy]
 
     for start, end in roots:  # below one root: the first gram is shared
         if end - start > 1:
             rest, least = room(start, end, 0)
-            if not hopeless(rest, 2 * least):
-                for x, y in combinations(range(start, end), 2):
-                    yield x, y, places[x][0], places[y][0]
+            if rest * both >= num * 2 * least:
+                yield from below(combinations(range(start, end), 2), 0, 0)
     for nodes in by_gram.values():  # the same gram on different paths
         if len(nodes) < 2:
             continue
         rooms = [room(*node) for node in nodes]
         for (u, (ru, lu)), (v, (rv, lv)) in combinations(zip(nodes, rooms), 2):
-            if not hopeless(min(ru, rv), lu + lv):
-                du, dv = u[2], v[2]
-                for x, y in product(range(u[0], u[1]), range(v[0], v[1])):
-                    yield x, y, places[x][du], places[y][dv]
+            if (ru if ru < rv else rv) * both >= num * (lu + lv):
+                yield from below(product(range(u[0], u[1]), range(v[0], v[1])), u[2], v[2])
 
 
 def survivors(rows: list, num: int, den: int) -> np.ndarray:
