@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 
 WORD = re.compile(r"[^\W_]+")
 CACHED_WORDS = 1 << 20
+WORDS_AT_ONCE = 1 << 18
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -60,14 +61,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Distinct hashes of the runs of ``width`` words, ascending as unsigned numbers."""
+def run_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of ``width`` words."""
     if len(hashes) < width:
         return np.empty(0, np.uint64)
+    each = mix(hashes + M1)
     total = np.zeros(len(hashes) - width + 1, np.uint64)
     for k in range(width):
-        total = total * M2 + mix(hashes[k : len(hashes) - width + 1 + k] + M1)
-    return np.unique(mix(total))
+        total = total * M2 + each[k : len(hashes) - width + 1 + k]
+    return mix(total)
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, *, width: int = 3, least_words: int = 30) -> DataFrame:
@@ -78,24 +80,39 @@ def shingle_sets(df: DataFrame, key: str, text: str, *, width: int = 3, least_wo
     texts are read, however long.
     """
 
+    def packed(recs: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
+        flat = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+        starts = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
+        grams = run_hashes(flat, width)
+        # the runs of a row are those that begin at least ``width`` words before its end
+        ends = np.maximum(starts[1:] - width + 1, starts[:-1])
+        kept = np.zeros(len(flat), bool)
+        for start, end in zip(starts[:-1], ends):
+            grams[start:end].sort()
+            kept[start + 1 : end] = grams[start + 1 : end] != grams[start : end - 1]
+            kept[start:end][:1] = True
+        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.where(kept, mix(np.append(grams, np.zeros(len(flat) - len(grams), np.uint64)) ^ m), np.uint64(0)), dtype=np.uint64)]) for m in (M1, M3)]
+        first, second = ((t[starts[1:]] - t[starts[:-1]]).view(np.int64) for t in sums)
+        offsets = np.concatenate([[0], np.cumsum(kept)])[starts].astype(np.int32)
+        flat = grams[kept[: len(grams)]].view(np.int64)
+        return pa.record_batch(
+            [pa.array(recs, pa.int64()), pa.array(np.diff(offsets), pa.int32()), pa.array(first), pa.array(second), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+            names=["rec", "n", "s1", "s2", "grams"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            recs, sizes, first, second, parts = [], [], [], [], []
+            recs, parts, held = [], [], 0
             for rec, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 hashes = word_hashes(value.as_py())
-                if rec is None or len(hashes) < least_words:
+                if rec is None or len(hashes) < max(least_words, width):
                     continue
-                grams = shingles(hashes, width)
                 recs.append(rec)
-                sizes.append(len(grams))
-                first.append(int(mix(grams ^ M1).sum(dtype=np.uint64).view(np.int64)))
-                second.append(int(mix(grams ^ M3).sum(dtype=np.uint64).view(np.int64)))
-                parts.append(grams.view(np.int64))
-            offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32)
-            flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
-            yield pa.record_batch(
-                [pa.array(recs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["rec", "n", "s1", "s2", "grams"],
-            )
+                parts.append(hashes)
+                held += len(hashes)
+                if held >= WORDS_AT_ONCE:
+                    yield packed(recs, parts)
+                    recs, parts, held = [], [], 0
+            yield packed(recs, parts)
 
     return df.select(df[key].cast("long"), df[text].cast("string")).mapInArrow(run, "rec long, n int, s1 long, s2 long, grams array<long>")
