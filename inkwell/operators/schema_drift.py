@@ -6,8 +6,10 @@ distance is taken in which a field may be kept, retyped (1), renamed to a name o
 (1), moved below another parent (1), or removed or added with all below it (1 for each field). Names of
 different meaning are never matched, so the distance falls apart by meaning: at each level, fields of
 one meaning are assigned to each other at least cost, and their subtrees recursively. The script of
-least cost is the list of changes; it is also compiled into one projection per file, which leads each
-target column to the names that the file has for it. The projections are applied to every line.
+least cost is the list of changes. The scripts of a feed, from the targets to its first file and on from
+file to file, are also compiled into one projection per file, which leads each target column to the
+paths that the file has for it: renamed, moved below other fields, or both in turn. The projections are
+applied to every line; an object is led to its main part and a list to one text (see ``led``).
 
 Schemas are gathered where the lines are: a batch of lines becomes one row for each file, path and
 type set, so only schemas are shuffled. A file's schema and a feed's list of files are small; lines
@@ -19,11 +21,13 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import permutations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, MapType, StringType, StructField, StructType
 
 #: The families of names that mean the same.
 FAMILIES = (
@@ -45,6 +49,12 @@ TARGETS = {
 }
 
 
+#: The parts of an object that hold its value, in order, unless a part is named as the target.
+MAIN = ("value", "text", "title", "y")
+#: Lists become one text in these targets; the others take the first element.
+JOINED = {"abstract": ". ", "author_string": ", "}
+
+
 def meaning(name: str) -> str:
     return FAMILY.get(name) or "name " + name.lower().replace("_", "")
 
@@ -131,16 +141,36 @@ def at(root: Node, path: tuple[str, ...]) -> Node:
     return root
 
 
+def paths(root: Node, start: tuple[str, ...] = ()) -> Iterator[tuple[str, ...]]:
+    """All paths below a node, parents before what is below them."""
+    for name, node in sorted(root.below.items()):
+        yield (*start, name)
+        yield from paths(node, (*start, name))
+
+
+def nested(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
+    return a == b[: len(a)] or b == a[: len(b)]
+
+
 def with_moves(cost: int, changes: list[Change], a: Node, b: Node) -> tuple[int, list[Change]]:
-    """A field removed here and added with the same name and types below another parent is moved."""
-    removed = {c.before: c for c in changes if c.kind == "removed"}
-    for c in [c for c in changes if c.kind == "added"]:
-        source = next((p for p in sorted(removed) if p[-1] == c.after[-1] and p[:-1] != c.after[:-1] and at(a, p).types == at(b, c.after).types), None)
+    """A field removed here and added with the same name and types below another parent is moved.
+
+    Either may be below a field that is removed or added as a whole.
+    """
+    removed = {p: c for c in changes if c.kind == "removed" for p in (c.before, *paths(at(a, c.before), c.before))}
+    added = [(q, c) for c in changes if c.kind == "added" for q in (c.after, *paths(at(b, c.after), c.after))]
+    taken: list[tuple[str, ...]] = []
+    for q, c in sorted(added, key=lambda x: (x[0] != x[1].after, len(x[0]))):
+        if any(nested(q, t) for t in taken):
+            continue
+        source = next((p for p in sorted(removed) if p[-1] == q[-1] and p[:-1] != q[:-1] and at(a, p).types == at(b, q).types), None)
         if source:
-            old = removed.pop(source)
-            saved = at(a, source).size() + at(b, c.after).size()
-            own, more = script(at(a, source), at(b, c.after), source, c.after)
-            changes = [x for x in changes if x not in (old, c)] + [Change("moved", source, c.after), *more]
+            gone = [x for x, p in ((removed[source], source), (c, q)) if p in (x.before, x.after)]
+            removed = {p: x for p, x in removed.items() if not nested(p, source)}
+            taken.append(q)
+            saved = at(a, source).size() + at(b, q).size()
+            own, more = script(at(a, source), at(b, q), source, q)
+            changes = [x for x in changes if x not in gone] + [Change("moved", source, q), *more]
             cost += 1 + own - saved
     return cost, changes
 
@@ -217,48 +247,123 @@ def top_level(found: DataFrame) -> DataFrame:
     return rows.select("feed", "file_seq", name(F.col("path_before")).alias("field_before"), name(F.col("path_after")).alias("field_after"), "change")
 
 
-def projections(files: DataFrame, targets: dict[str, str] = TARGETS) -> DataFrame:
-    """(feed, file_seq, names): for each target column, the names the file has for it, the target's own first."""
+def sources(trees: list[Node], targets: dict[str, str] = TARGETS) -> list[dict[str, list[tuple[str, ...]]]]:
+    """For each file of a feed, in order: the paths that lead to each target, the target's own name first.
+
+    At the top, every name that means a target leads to it. Below, a path does if the scripts so far
+    moved or renamed a leading path to it; what stands below a field that means another target is that field's.
+    """
     senses = {meaning(t): t for t in targets}
+    leads = {(t,): t for t in targets}
+    last = Node(16, {t: Node(TYPES[bool] if kind == "boolean" else TYPES[str]) for t, kind in targets.items()})
+    out = []
+    for tree in trees:
+        if tree.below:
+            for c in script(last, tree)[1]:
+                if c.kind in ("renamed", "moved"):
+                    for path, target in [*leads.items()]:
+                        now = (*c.after, *path[len(c.before) :])
+                        if path[: len(c.before)] == c.before and not any(meaning(n) in senses for n in now[:-1]):
+                            leads.setdefault(now, target)
+            last = tree
+        found: dict[str, list] = {}
+        for path in paths(tree):
+            if target := senses.get(meaning(path[0])) if len(path) == 1 else leads.get(path):
+                found.setdefault(target, []).append(path)
+        out.append({t: sorted(p, key=lambda x: (len(x), x[-1] != t, x)) for t, p in sorted(found.items())})
+    return out
+
+
+def projections(files: DataFrame, targets: dict[str, str] = TARGETS) -> DataFrame:
+    """(feed, file_seq, sources): for each file, what ``sources`` gives, as JSON."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for tree in batch.column(2).to_pylist():
-                names: dict[str, list] = {}
-                for row in tree:
-                    if len(row["path"]) == 1 and (target := senses.get(meaning(row["path"][0]))):
-                        names.setdefault(target, []).append(row["path"][0])
-                out.append([(t, sorted(n, key=lambda x: (x != t, x))) for t, n in sorted(names.items())])
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.map_(pa.string(), pa.list_(pa.string())))], names=["feed", "file_seq", "names"])
+            for feed, own in zip(*(c.to_pylist() for c in batch.columns)):
+                out = [json.dumps(x) for x in sources([tree_of(f["tree"]) for f in own], targets)]
+                yield pa.record_batch([pa.array([feed] * len(own), pa.string()), pa.array([f["file_seq"] for f in own], pa.int32()), pa.array(out, pa.string())], names=["feed", "file_seq", "sources"])
 
-    return files.select("feed", "file_seq", "tree").mapInArrow(run, "feed string, file_seq int, names map<string,array<string>>")
+    feeds = files.groupBy("feed").agg(F.sort_array(F.collect_list(F.struct("file_seq", "tree"))).alias("own"))
+    return feeds.mapInArrow(run, "feed string, file_seq int, sources string")
 
 
-def flag(text: Column) -> Column:
-    said = F.lower(F.trim(text))
-    return F.when(said.isin("true", "y", "yes", "1"), True).when(said.isin("false", "n", "no", "0"), False)
+def text_of(value: object) -> str | None:
+    if value is None or isinstance(value, str):
+        return value and value.encode("utf-8", "replace").decode()
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "replace").decode()
+
+
+def led(target: str, value: object) -> tuple[str | None, object]:
+    """The text that a value gives a target, and what is left of the value (None: nothing).
+
+    An object gives its part of the target's meaning, else the first of ``MAIN``, else its JSON text. A
+    list gives its elements joined or the first that is not null. A number gives a pmcid with its prefix.
+    """
+    if isinstance(value, dict):
+        part = next((n for n in value if meaning(n) == meaning(target)), None) or next((n for n in MAIN if n in value), None)
+        if part is None:
+            return text_of(value), None
+        text, left = led(target, value[part])
+        return text, {n: v for n, v in value.items() if n != part} | ({} if left is None else {part: left}) or None
+    if isinstance(value, list):
+        given = [v for v in value if v is not None]
+        if target not in JOINED:
+            text, left = led(target, given[0]) if given else (None, None)
+            return text, [*([] if left is None else [left]), *given[1:]] or None
+        both = [led(target, v) for v in given]
+        texts = [t for t, _ in both if t]
+        sep = JOINED[target]
+        return "".join(t + (sep[-1] if t.endswith(sep.strip()) else sep) for t in texts[:-1]) + texts[-1] if texts else None, [x for _, x in both if x is not None] or None
+    if target == "pmcid" and type(value) is int:
+        return f"PMC{value}", None
+    return text_of(value), None
+
+
+def flag(text: str | None) -> bool | None:
+    said = (text or "").strip(" ").lower()
+    return True if said in ("true", "y", "yes", "1") else False if said in ("false", "n", "no", "0") else None
+
+
+def take(record: dict, path: list[str], target: str) -> str | None:
+    """Lead the value at a path to the target; the record keeps what is left."""
+    for name in path[:-1]:
+        record = record.get(name)
+        if not isinstance(record, dict):
+            return None
+    if path[-1] not in record:
+        return None
+    text, left = led(target, record.pop(path[-1]))
+    if left is not None:
+        record[path[-1]] = left
+    return text
 
 
 def unified(lines: DataFrame, compiled: DataFrame, *, keep: list[str], feed: str = "feed", seq: str = "file_seq", raw: str = "raw", targets: dict[str, str] = TARGETS) -> DataFrame:
     """Every object line in the shape of ``targets``, with the columns ``keep`` and the fields left over.
 
-    Each target takes the first non-null value among the names its file has for it. Values of a type
-    the target cannot hold become null in a boolean column and their JSON text in a string column.
-    Lines that hold no object are left out. The parse and the projection stay in the JVM.
+    Each target takes the first non-null value among the paths its file has for it. Values that a boolean
+    column cannot hold become null. What an object or a list has besides the value led to a target stays
+    in ``rest``, under the name of its top-level field. Lines that hold no object are left out.
     """
-    text = F.col(raw)
-    outer = F.from_json(text, "map<string,string>")
-    own = lines.withColumn("__outer", outer).where("__outer is not null")
-    only = F.element_at(F.map_values("__outer"), 1)
-    own = own.withColumn("__kv", F.when((F.size("__outer") == 1) & only.startswith("{"), F.coalesce(F.from_json(only, "map<string,string>"), F.col("__outer"))).otherwise(F.col("__outer")))
-    both = own.join(compiled.select(F.col("feed").alias("__f"), F.col("file_seq").alias("__s"), "names"), (F.col(feed) == F.col("__f")) & (F.col(seq) == F.col("__s")))
-
-    def value(target: str) -> Column:
-        names = F.coalesce(F.try_element_at("names", F.lit(target)), F.array().cast("array<string>"))
-        first = F.try_element_at(F.filter(F.transform(names, lambda n: F.try_element_at("__kv", n)), lambda v: v.isNotNull()), F.lit(1))
-        return (flag(first) if targets[target] == "boolean" else first).alias(target)
-
-    used = F.flatten(F.map_values("names"))
-    rest = F.map_filter("__kv", lambda k, _: ~F.array_contains(used, k)).alias("rest")
-    return both.select(*keep, *[value(t) for t in targets], rest)
+    both = lines.join(compiled.select(F.col("feed").alias("__f"), F.col("file_seq").alias("__s"), F.col("sources").alias("__p")), (F.col(feed) == F.col("__f")) & (F.col(seq) == F.col("__s")))
+    both = both.select(*keep, F.col(raw).cast("string").alias("__raw"), "__p")
+    kinds = StructType([*both.select(*keep).schema, *(StructField(t, BooleanType() if kind == "boolean" else StringType()) for t, kind in targets.items()), StructField("rest", MapType(StringType(), StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = lru_cache(1024)(json.loads)
+        for batch in batches:
+            at, rows, rest = [], {t: [] for t in targets}, []
+            for i, (line, compiled) in enumerate(zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist())):
+                if (record := parse_object(line)) is None:
+                    continue
+                at.append(i)
+                own = plan(compiled)
+                for t, kind in targets.items():
+                    text = next((x for x in [take(record, p, t) for p in own.get(t, ())] if x is not None), None)
+                    rows[t].append(flag(text) if kind == "boolean" else text)
+                rest.append([(text_of(n), text_of(v)) for n, v in record.items()])
+            kept = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(len(keep))]
+            values = [pa.array(rows[t], pa.bool_() if kind == "boolean" else pa.string()) for t, kind in targets.items()]
+            yield pa.record_batch([*kept, *values, pa.array(rest, pa.map_(pa.string(), pa.string()))], names=[*keep, *targets, "rest"])
+
+    return both.mapInArrow(run, kinds)

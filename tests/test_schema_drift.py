@@ -55,3 +55,28 @@ def test_files(spark):
     got = {(r["pmcid"], r["pub_year"], r["abstract"], r["is_open_access"], tuple(r["rest"])) for r in table.collect()}
     assert got == {("PMC1", "2019", None, None, ("old",)), ("PMC2", "2020", "x", True, ()), (None, None, None, None, ())}
     assert s.changes(s.schemas(df.limit(0), "feed", "file_seq", "raw")).count() == 0
+
+
+def test_values_are_led_into_the_target(spark):
+    """Objects, lists and moved fields reach the scalar target; what they hold besides stays in rest."""
+    files = [
+        {"pmcid": "PMC1", "doi": "d1", "pub_year": 2019, "abstract": "A b", "journal": "J", "pub_type": "review"},
+        {"PMCID": {"value": "PMC2", "version": 1}, "ids": {"doi": "d2", "x": 1}, "pubYear": {"y": 2020, "m": 4}, "abstract": {"text": "C d", "lang": "en"}, "journal": {"title": "K", "abbr": "k"}, "authorString": ["E F", "G H"]},
+        {"PMCID": 3, "ids": {"DOI": "d3"}, "abstractText": ["I j", "K l.", "M n"], "journal": {"title": "{K}"}, "pub_type": ["review", "article"], "title": None},
+        {"ids": {"DOI": "d4"}, "abstract": "{not an object}"},
+    ]
+    df = spark.createDataFrame([(i, "f", i, json.dumps(x)) for i, x in enumerate(files)], "line_id long, feed string, file_seq int, raw string")
+    table = s.unified(df, s.projections(s.schemas(df, "feed", "file_seq", "raw")), keep=["line_id"])
+    got = [(r["pmcid"], r["doi"], r["pub_year"], r["abstract"], r["journal"], r["title"], r["author_string"], r["pub_type"], r["rest"]) for r in table.orderBy("line_id").collect()]
+    assert got == [
+        ("PMC1", "d1", "2019", "A b", "J", None, None, "review", {}),
+        ("PMC2", "d2", "2020", "C d", "K", None, "E F, G H", None, {"PMCID": '{"version":1}', "ids": '{"x":1}', "pubYear": '{"m":4}', "abstract": '{"lang":"en"}', "journal": '{"abbr":"k"}'}),
+        ("PMC3", "d3", None, "I j. K l. M n", "{K}", None, None, "review", {"ids": "{}", "pub_type": '["article"]'}),
+        (None, "d4", None, "{not an object}", None, None, None, None, {"ids": "{}"}),
+    ]
+
+
+def test_moves_into_new_fields():
+    assert kinds(node(doi=1), node(n=node(doi=1, x=1))) == [("added", "", "n"), ("moved", "doi", "n.doi")]
+    assert s.script(node(doi=1), node(n=node(doi=1, x=1)))[0] == 3
+    assert kinds(node(m=node(doi=1)), node(n=node(doi=1))) == [("added", "", "n"), ("moved", "m.doi", "n.doi"), ("removed", "m", "")]
