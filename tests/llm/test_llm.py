@@ -182,6 +182,29 @@ def test_fuzzy_windows_reach_the_recall():
     assert hit >= 0.9 * len(base)
 
 
+@pytest.mark.parametrize("length", [12, 7])
+@pytest.mark.parametrize("kind", ["added", "missing"])
+def test_fuzzy_windows_with_a_word_more_or_less(length, kind):
+    """The passage stands between other words, so no window of the item's own length is one edit away."""
+    base = [RNG.sample(VOCABULARY, length) for _ in range(400)]
+    index = leakage.ItemIndex([(i, " ".join(b)) for i, b in enumerate(base)], 12, 1, 0.95)
+    hit = 0
+    for i, b in enumerate(base):
+        k = RNG.randrange(2, length - 2)
+        passage = [*b[:k], "zz", *b[k:]] if kind == "added" else [*b[:k], *b[k + 1 :]]
+        flat = words.word_hashes(" ".join(["yy", "xx", *passage, "vv", "uu"]))
+        hit += i in index.find(flat, np.array([0, len(flat)]))[1]
+    assert hit >= 0.9 * len(base)
+
+
+def test_distance_of_unequal_lengths():
+    for n, m in ((8, 7), (7, 8), (8, 6), (5, 8)):
+        a = np.array([[RNG.randrange(3) for _ in range(n)] for _ in range(200)])
+        b = np.array([[RNG.randrange(3) for _ in range(m)] for _ in range(200)])
+        for e in range(4):
+            assert leakage.within(a, b, e).tolist() == [edit_distance(x, y) <= e for x, y in zip(a.tolist(), b.tolist())]
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
