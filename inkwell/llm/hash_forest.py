@@ -14,8 +14,7 @@ are then scored again on the vectors as they are.
 
 Copies: equal vectors are one entry of the forest, whatever their number, and are expanded at the
 end, so that a vector which a third of all rows repeat loads no task. Vectors that are nearly equal
-have equal strings; a node that still holds more than ``NODE`` vectors at full depth is cut in
-consecutive parts that are scored against themselves and their neighbours.
+have equal strings; their node is scored whole, in blocks, however many it holds.
 """
 
 from __future__ import annotations
@@ -103,6 +102,9 @@ def best(query: np.ndarray, own: np.ndarray, other: np.ndarray, keep: int, least
             r, c = np.nonzero(s >= least)
             v = s[r, c]
             if len(r) > keep * len(s):
+                if s.shape[1] > keep + 1:  # nearly all may be similar enough
+                    ok = v >= np.partition(s, -keep - 1, axis=1)[r, -keep - 1]
+                    r, c, v = r[ok], c[ok], v[ok]
                 order = np.lexsort((-v, r))
                 r, c, v = r[order], c[order], v[order]
                 begin = np.searchsorted(r, np.arange(len(s)))
@@ -130,18 +132,10 @@ def scored(code: np.ndarray, level: np.ndarray, unit: np.ndarray, keep: int, lea
         here = np.add.reduceat(asks, starts)
         for lo, hi in zip(starts[(here > 0) & (ends - starts > 1)], ends[(here > 0) & (ends - starts > 1)]):
             query = lo + np.flatnonzero(asks[lo:hi])
-            if hi - lo <= NODE or length < SYMBOLS:
-                for start in range(lo, hi, 2 * NODE):
-                    stop = min(hi, start + 2 * NODE)
-                    r, c, v = best(query, unit[query], unit[start:stop], keep, least)
-                    yield r, c + start, v
-            else:
-                for start in range(lo, hi, NODE):
-                    part = query[(query >= start) & (query < start + NODE)]
-                    near, far = max(lo, start - NODE), min(hi, start + 2 * NODE)
-                    if len(part):
-                        r, c, v = best(part, unit[part], unit[near:far], keep, least)
-                        yield r, c + near, v
+            for start in range(lo, hi, 2 * NODE):
+                stop = min(hi, start + 2 * NODE)
+                r, c, v = best(query, unit[query], unit[start:stop], keep, least)
+                yield r, c + start, v
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:

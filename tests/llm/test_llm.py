@@ -273,6 +273,19 @@ def test_neighbours_recall_and_edges(spark):
     assert hash_forest.most_similar(df.limit(0), "chunk_id", "embedding").count() == 0
 
 
+def test_large_nodes_of_full_depth_are_scored_whole(monkeypatch):
+    """Nearly equal vectors have one hash string; each finds its nearest among all of them."""
+    monkeypatch.setattr(hash_forest, "NODE", 64)
+    rng = np.random.default_rng(6)
+    unit = hash_forest.normalized(rng.standard_normal(64) + 0.05 * rng.standard_normal((1000, 64)))
+    got = {}
+    for r, c, v in hash_forest.scored(np.zeros(1000, np.int64), np.full(1000, hash_forest.SYMBOLS), unit, 8, 0.5):
+        for x in zip(r.tolist(), c.tolist(), v.tolist()):
+            got.setdefault(x[0], []).append(x)
+    want = brute_neighbours([*enumerate(unit.tolist())], 5)
+    assert all({*want[a]} <= {c for _, c, _ in sorted(got[a], key=lambda x: -x[2])[:8]} for a in want)
+
+
 def test_neighbours_of_copies(spark):
     """A third of all rows are one vector: their neighbours are the smallest other keys among them."""
     rng = np.random.default_rng(4)
