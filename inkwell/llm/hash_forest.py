@@ -9,8 +9,9 @@ it must ascend is read off a bounded sample of the vectors (``SAMPLE`` rows, whi
 points); every vector is indexed and every vector is a query. In the arrays, the queries that stop
 at one node are scored against the node's interval in one matrix product.
 
-Trees carry vectors as signed bytes and keep what comes within ``SLACK`` of being returned; the pairs
-are then scored again on the vectors as they are.
+Trees carry vectors as 16-bit numbers. They keep every candidate whose score comes within the error of
+that rounding of the k-th best, or of being returned, however many these are; the pairs are then scored
+again on the vectors as they are.
 
 Copies: equal vectors are one entry of the forest, whatever their number, and are expanded at the
 end, so that a vector which a third of all rows repeat loads no task. Vectors that are nearly equal
@@ -32,7 +33,7 @@ from inkwell.runtime import written
 SYMBOLS, SYMBOL_BITS, AXES = 15, 4, 8
 SAMPLE = 16384
 NODE = 4096
-SLACK = 0.01
+STEPS = 32767
 #: Candidates a query ascends for, over up to WANTED_AT vectors; beyond, it grows as their square root.
 WANTED, WANTED_AT = 1600, 250_000
 SEED = 977
@@ -84,7 +85,15 @@ def levels(codes: np.ndarray, sample: np.ndarray, scale: float, wanted: int) ->
 
 
 def quantized(unit: np.ndarray) -> np.ndarray:
-    return np.rint(unit / np.abs(unit).max(1, keepdims=True) * 127).astype(np.int8)
+    return np.rint(unit / np.abs(unit).max(1, keepdims=True) * STEPS).astype(np.int16)
+
+
+def rounding(dim: int, length: float = STEPS) -> float:
+    """By how much at most the cosine of two quantized vectors, as long as this or longer, is wrong, or that of float32.
+
+    A vector of that length is moved by half a step in each of its places, and normalized again.
+    """
+    return dim**0.5 / length + 2e-6
 
 
 def normalized(vectors: np.ndarray) -> np.ndarray:
@@ -93,35 +102,29 @@ def normalized(vectors: np.ndarray) -> np.ndarray:
     return (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32)
 
 
-def best(query: np.ndarray, own: np.ndarray, other: np.ndarray, keep: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, other, score) of the ``keep`` best of ``other`` for each row of ``own``; positions of ``own`` are ``query``."""
+def best(query: np.ndarray, own: np.ndarray, other: np.ndarray, keep: int, least: float, margin: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, other, score) of all of ``other`` within ``margin`` of the ``keep`` best for each row of ``own``, itself not counted; positions of ``own`` are ``query``."""
     rows, cols, scores = [], [], []
     for start in range(0, len(own), 1024):
         s = own[start : start + 1024] @ other.T
-        if least > -1:
-            r, c = np.nonzero(s >= least)
-            v = s[r, c]
-            if len(r) > keep * len(s):
-                if s.shape[1] > keep + 1:  # nearly all may be similar enough
-                    ok = v >= np.partition(s, -keep - 1, axis=1)[r, -keep - 1]
-                    r, c, v = r[ok], c[ok], v[ok]
-                order = np.lexsort((-v, r))
-                r, c, v = r[order], c[order], v[order]
-                begin = np.searchsorted(r, np.arange(len(s)))
-                ok = np.arange(len(r)) - begin[r] <= keep
-                r, c, v = r[ok], c[ok], v[ok]
-        else:
-            k = min(keep + 1, s.shape[1])
-            c = np.argpartition(-s, k - 1, axis=1)[:, :k].ravel()
-            r = np.repeat(np.arange(len(s)), k)
-            v = s[r, c]
+        r, c = np.nonzero(s >= least) if least > -1 else (x.ravel() for x in np.indices(s.shape))
+        v = s[r, c]
+        if len(r) > keep * len(s) and s.shape[1] > keep + 1:
+            ok = v >= np.partition(s, -keep - 1, axis=1)[r, -keep - 1] - margin
+            r, c, v = r[ok], c[ok], v[ok]
         rows.append(query[start + r])
         cols.append(c)
         scores.append(v)
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(scores)
 
 
-def scored(code: np.ndarray, level: np.ndarray, unit: np.ndarray, keep: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def near_best(r: np.ndarray, v: np.ndarray, keep: int, margin: float) -> np.ndarray:
+    """Of (row, score) sorted by row and falling score: which come within ``margin`` of the row's ``keep``-th best?"""
+    kth, last = np.searchsorted(r, r) + keep - 1, np.searchsorted(r, r, "right") - 1
+    return (kth > last) | (v >= v[np.minimum(kth, last)] - margin)
+
+
+def scored(code: np.ndarray, level: np.ndarray, unit: np.ndarray, keep: int, least: float, margin: float = 0.0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Walk one sorted array: for each node where queries stop, score them against the node's interval."""
     for length in np.unique(level):
         shift = SYMBOL_BITS * (SYMBOLS - int(length))
@@ -134,8 +137,9 @@ def scored(code: np.ndarray, level: np.ndarray, unit: np.ndarray, keep: int, lea
             query = lo + np.flatnonzero(asks[lo:hi])
             for start in range(lo, hi, 2 * NODE):
                 stop = min(hi, start + 2 * NODE)
-                r, c, v = best(query, unit[query], unit[start:stop], keep, least)
-                yield r, c + start, v
+                for own in np.split(query, range(1024, len(query), 1024)):
+                    r, c, v = best(own, unit[own], unit[start:stop], keep, least, margin)
+                    yield r, c + start, v
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -175,7 +179,7 @@ def most_similar(df: DataFrame, key: str, embedding: str, *, k: int = 5, dim: in
     splits = sample[np.linspace(0, len(sample), each + 1).astype(int)[1:-1]] if len(sample) else sample
     scale = total / max(1, len(sample))
     sent = spark.sparkContext.broadcast((sample, splits, scale))
-    keep, floor = k, least - SLACK if least > -1 else -1.0
+    keep, floor = k, least - rounding(dim) if least > -1 else -1.0
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample, splits, scale = sent.value
@@ -185,7 +189,7 @@ def most_similar(df: DataFrame, key: str, embedding: str, *, k: int = 5, dim: in
             unit = normalized(matrix(batch.column(1), dim))
             codes = hash_strings(unit, trees)
             level = levels(codes, sample, scale, wanted).astype(np.int8)
-            small = pa.Array.from_buffers(pa.binary(dim), len(unit), [None, pa.py_buffer(quantized(unit).tobytes())])
+            small = pa.Array.from_buffers(pa.binary(2 * dim), len(unit), [None, pa.py_buffer(quantized(unit).tobytes())])
             for t in range(trees):
                 part = t * each + np.searchsorted(splits[:, t], codes[:, t], "right") if len(splits) else np.full(len(unit), t * each)
                 yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(codes[:, t]), batch.column(0), pa.array(level), small.cast(pa.binary())], names=["part", "code", "h1", "level", "q"])
@@ -198,13 +202,15 @@ def most_similar(df: DataFrame, key: str, embedding: str, *, k: int = 5, dim: in
                 c.append(batch.column(name).to_numpy())
             q = batch.column("q")
             at = np.frombuffer(q.buffers()[1], np.int32)[q.offset : q.offset + len(q) + 1]
-            cols[3].append(np.frombuffer(q.buffers()[2], np.int8)[at[0] : at[-1]].reshape(len(q), dim))
+            cols[3].append(np.frombuffer(q.buffers()[2], np.int16, (at[-1] - at[0]) // 2, at[0]).reshape(len(q), dim))
         if not cols[0]:
             return
         code, h1, level, q = (np.concatenate(c) for c in cols)
         order = np.argsort(code, kind="stable")
         code, h1, level, unit = code[order], h1[order], level[order].astype(np.int64), q[order].astype(np.float32)
-        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        lengths = np.linalg.norm(unit, axis=1, keepdims=True)
+        unit /= lengths
+        margin = 2 * rounding(dim, float(lengths.min()))
         held: list[tuple] = []
 
         def merged() -> pa.RecordBatch:
@@ -213,12 +219,11 @@ def most_similar(df: DataFrame, key: str, embedding: str, *, k: int = 5, dim: in
             r, c, v = r[ok], c[ok], v[ok]
             order = np.lexsort((-v, r))
             r, c, v = r[order], c[order], v[order]
-            begin = np.searchsorted(r, r)
-            ok = np.arange(len(r)) - begin < keep + 3
+            ok = near_best(r, v, keep, margin)
             return pa.record_batch([pa.array(h1[r[ok]]), pa.array(h1[c[ok]]), pa.array(v[ok].astype(np.float32))], names=["qa", "qb", "score"])
 
         size = 0
-        for part in scored(code, level, unit, keep + 3, floor):
+        for part in scored(code, level, unit, keep, floor, margin):
             held.append(part)
             size += len(part[0])
             if size > 1 << 20:
@@ -231,7 +236,8 @@ def most_similar(df: DataFrame, key: str, embedding: str, *, k: int = 5, dim: in
     found = planted.repartitionById(each * trees, "part").mapInArrow(walk, "qa long, qb long, score float")
     found = found.groupBy("qa", "qb").agg(F.max("score").alias("score"))
     rank = Window.partitionBy("qa").orderBy(F.desc("score"), "qb")
-    near = written(found.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k + 3).select("qa", "qb"), "near")
+    kth = F.min(F.when(F.col("r") <= k, F.col("score"))).over(Window.partitionBy("qa"))
+    near = written(found.withColumn("r", F.row_number().over(rank)).withColumn("kth", kth).where(F.col("score") >= F.col("kth") - 2 * rounding(dim)).select("qa", "qb"), "near")
 
     left = entries.select(F.col("h1").alias("qa"), F.col("rep").alias("ra"), F.col("v").alias("va"))
     right = entries.select(F.col("h1").alias("qb"), F.col("rep").alias("rb"), F.col("v").alias("vb"))

@@ -286,6 +286,19 @@ def test_large_nodes_of_full_depth_are_scored_whole(monkeypatch):
     assert all({*want[a]} <= {c for _, c, _ in sorted(got[a], key=lambda x: -x[2])[:8]} for a in want)
 
 
+def test_neighbours_in_tight_families(spark):
+    """300 vectors with cosines of 0.9998 and more: rounding in the trees must not decide who is nearest."""
+    rng = np.random.default_rng(8)
+    vectors = [(f"v{i:04d}", x.tolist()) for i, x in enumerate((rng.standard_normal(64) + 0.01 * rng.standard_normal((300, 64))).astype(np.float32))]
+    got = {}
+    for r in hash_forest.most_similar(spark.createDataFrame(vectors, "chunk_id string, embedding array<float>"), "chunk_id", "embedding", least=0.85).collect():
+        got.setdefault(r["a"], []).append(r["b"])
+    want = brute_neighbours(vectors, 5)
+    recall = sum(len({*got.get(a, ())} & {*b}) for a, b in want.items()) / (5 * len(vectors))
+    print("recall in tight families", recall)
+    assert recall >= 0.99
+
+
 def test_neighbours_of_copies(spark):
     """A third of all rows are one vector: their neighbours are the smallest other keys among them."""
     rng = np.random.default_rng(4)
