@@ -88,10 +88,16 @@ def p2_last_batch(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per document: its class of equal shingle sets, the class's copies and its number of links."""
-    links, members = trie_join.near_duplicates(read(spark, folder, "documents"), "doc_id", "text")
+    """One row per document: its class of equal shingle sets, the class's copies and its number of links.
+
+    A document without a text of enough words is a class of its own, without links.
+    """
+    documents = read(spark, folder, "documents")
+    links, members = trie_join.near_duplicates(documents, "doc_id", "text")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    return members.join(degree, "rep", "left").select(F.col("rec").alias("doc_id"), F.col("rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    classes = members.join(degree, "rep", "left").select(F.col("rec").alias("doc_id"), "rep", "copies", "links")
+    every = documents.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
+    return every.join(classes, "doc_id", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def p7_fuzzy(spark: SparkSession, folder: str) -> DataFrame:

@@ -382,6 +382,14 @@ def test_all_queries_run(spark, data):
         assert query(spark, data).count() >= 0, name
 
 
+def test_classes_have_every_document(spark, tmp_path):
+    text = " ".join(VOCABULARY[:60])
+    rows = [(1, text), (2, text.upper()), (3, None), (4, ""), (5, "few words"), (6, " ".join(VOCABULARY[2:60]))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in catalog.QUERIES["p5_classes"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1, 2, 1), (2, 1, 2, 1), (3, 3, 1, 0), (4, 4, 1, 0), (5, 5, 1, 0), (6, 6, 1, 1)}
+
+
 def test_incremental_query_agrees(spark, data):
     last = spark.read.parquet(f"{data}/metadata_all.parquet").agg(F.max("batch_no")).first()[0]
     want = catalog.QUERIES["p2_found"](spark, data).join(spark.read.parquet(f"{data}/metadata_all.parquet").where(F.col("batch_no") == last).select(F.col("rec_no").alias("rec_no_b")), "rec_no_b", "left_semi")
