@@ -54,8 +54,13 @@ def named_vocabulary(spark: SparkSession, folder: str) -> str:
 
 
 def p3_token_budget(spark: SparkSession, folder: str) -> DataFrame:
-    """Totals over documents and chunks; a chunk's journal is its source, its language and domain are not given."""
-    chunks = read(spark, folder, "embedded_chunk").select("chunk_id", "journal", "source_type", "text").distinct().select(F.col("journal").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("domain"), "source_type", "text")
+    """Totals over documents and chunks; a chunk's journal is its source, its language and domain are its article's.
+
+    Of several documents with one pmcid, the one with the smallest doc_id counts.
+    """
+    articles = read(spark, folder, "documents").where("pmcid is not null").groupBy("pmcid").agg(F.min_by(F.struct("lang", "domain"), "doc_id").alias("of"))
+    chunks = read(spark, folder, "embedded_chunk").groupBy("chunk_id", "journal", "source_type", "text").agg(F.min("pmcid").alias("pmcid"))
+    chunks = chunks.join(articles, "pmcid", "left").select(F.col("journal").alias("source"), "of.lang", "of.domain", "source_type", "text")
     name = named_vocabulary(spark, folder)
     counted = tokens.token_counts(chunks, ["source", "lang", "domain", "source_type"], "text", name=name)
     whole = tokens.budget(counted_documents(spark, folder)).withColumn("kind", F.lit("documents"))

@@ -351,6 +351,17 @@ def test_budget(spark):
     assert got == {("open omics", "en", "genomics", "metadata_only", 2, 1, 2), ("unknown", "unknown", "unknown", "unknown", 2, 1, 1), ("x", "de", "y", "fulltext", 1, 1, 1)}
 
 
+@needs_vocabularies
+def test_budget_of_chunks_has_language_and_domain(spark, tmp_path):
+    docs = [(1, "P1", "s", "EN", "Genomics", "full_text", "a"), (2, "P1", "s", "de", "other", "full_text", "b"), (3, None, "s", "fr", "x", "full_text", "c")]
+    chunks = [("c1", "P1", "J", "full_text", "d"), ("c1", "P1", "J", "full_text", "d"), ("c2", None, "J", "full_text", "e")]
+    tables = {"documents": (docs, "doc_id long, pmcid string, source string, lang string, domain string, source_type string, text string"), "embedded_chunk": (chunks, "chunk_id string, pmcid string, journal string, source_type string, text string"), "context_windows": ([("cl100k_base",)], "tokenizer string")}
+    for name, (rows, kind) in tables.items():
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {(r["lang"], r["domain"]) for r in catalog.QUERIES["p3_token_budget"](spark, str(tmp_path)).where("kind = 'chunks'").collect()}
+    assert got == {("en", "genomics"), ("unknown", "unknown")}
+
+
 def test_packing(spark):
     sizes = [(i, RNG.choice([RNG.randint(1, 400), RNG.randint(300, 1000), 1000, 0, 2500])) for i in range(3000)] + [(9000, None), (9001, 123_456)]
     df = spark.createDataFrame(sizes, "doc_id long, tokens long").withColumns({"item": F.lit("x"), "capacity": F.lit(1)})
