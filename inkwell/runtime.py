@@ -52,6 +52,15 @@ def bounded_rows(df: DataFrame, most: int, what: str) -> list:
     return rows
 
 
+#: Up to this many rows of one number each, a table may be sent to every executor.
+MOST_SENT = 1_000_000
+
+
+def is_small(df: DataFrame, most: int = MOST_SENT) -> bool:
+    """Does the table hold at most ``most`` rows? Counted before a broadcast; no row reaches the driver."""
+    return df.limit(most + 1).count() <= most
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
