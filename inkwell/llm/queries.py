@@ -23,7 +23,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = history.check_batch(read(spark, folder, "metadata_all")).cases
+    found = history.check_backlog(read(spark, folder, "metadata_all"))
     return found.select(F.col("a").alias("rec_no_a"), F.col("b").alias("rec_no_b"))
 
 
@@ -87,7 +87,7 @@ def p2_last_batch(spark: SparkSession, folder: str) -> DataFrame:
     last = meta.agg(F.max("batch_no")).first()[0]
     path = f"{shared_folder(spark)}/inkwell-history-{uuid.uuid4().hex}"
     delete_at_end(spark, path)
-    history.check_batch(meta.where(F.col("batch_no") < last)).added.save(path, "overwrite")
+    history.check_batch(meta.where(F.col("batch_no") < last)).save(path, "overwrite")
     found = history.check_batch(meta.where(F.col("batch_no") == last), history.History.load(spark, path)).cases
     return found.select(F.col("a").alias("rec_no_a"), F.col("b").alias("rec_no_b"))
 

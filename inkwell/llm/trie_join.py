@@ -1,144 +1,140 @@
 """Near-duplicate records with small edits: a prefix-tree join over shingle sets (problem 5).
 
-Sets of word shingles are put in one global order, rarest gram first. The shared grams of each
-set's prefix go to blocks; in a block, the sets' gram sequences form a trie, kept as an array of
-sequences in sorted order in which each node is an interval. Sets below one node share its path, so
-they are tested together: nodes of the same gram are paired, and a pair of subtrees is dropped as a
-whole if the longest remainders below them cannot reach the overlap that the smallest sets below
-them need. What is left is tested set by set, then verified on the whole sets.
-
-Blocks are (owner, lane): a gram's owner is the smallest record that holds it, so the grams a family
-of copies shares lie together and make deep shared paths; eight lanes split an owner's grams, so that
-no block holds all grams of a large family.
+Sets of word shingles are put in one global order, rarest gram first. The grams of each set's prefix
+are dealt to parts; in a part, the sets' gram sequences form a trie, built a level of all sequences at a
+time. Sets below one node share its path, so they are tested together: nodes of the same gram are
+paired, unless the nodes above them hold the same gram too, for then they shared that already; and a pair
+of subtrees is dropped as a whole if the longest remainders below them cannot reach the overlap that the
+smallest sets below them need. What is left is tested set by set, then by signatures, then on the whole sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, product
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.prefixes import classes, prefix_rows, representatives, verified
+from inkwell.llm.prefixes import by_part, classes, counted, near_enough, only, prefix_rows, ranks_of, sized, unpacked, verified
 from inkwell.llm.words import shingle_sets
 from inkwell.runtime import written
 
-LANES = 8
-TESTED_AT_ONCE = 1 << 19
-
-
-def trie_nodes(sequences: list[tuple]) -> tuple[dict, list]:
-    """Trie of sorted sequences: gram -> [(first, last+1, depth)], and the nodes of depth 0."""
-    by_gram: dict[int, list] = {}
-    roots, path = [], []
-    before: tuple = ()
-    for k, seq in enumerate(sequences):
-        same = 0
-        for x, y in zip(before, seq):
-            if x != y:
-                break
-            same += 1
-        for depth, (gram, start) in enumerate(path[same:], same):
-            by_gram.setdefault(gram, []).append((start, k, depth))
-            if not depth:
-                roots.append((start, k))
-        del path[same:]
-        path.extend((gram, k) for gram in seq[same:])
-        before = seq
-    for depth, (gram, start) in enumerate(path):
-        by_gram.setdefault(gram, []).append((start, len(sequences), depth))
-        if not depth:
-            roots.append((start, len(sequences)))
-    return by_gram, roots
-
-
-def block_pairs(seqs: list[tuple], places: list[tuple], sizes: list[int], num: int, den: int) -> Iterator[tuple[int, int, int, int]]:
-    """Pairs (x, y, place in x, place in y) of positions in ``seqs`` (sorted) that survive the bounds on subtrees."""
-    by_gram, roots = trie_nodes(seqs)
-    both = num + den
-    rests = [[n - p for p in at] for n, at in zip(sizes, places)]
-
-    def room(start: int, end: int, depth: int) -> tuple[int, int]:
-        if end - start == 1:
-            return rests[start][depth], sizes[start]
-        return max(r[depth] for r in rests[start:end]), min(sizes[start:end])
-
-    def below(pairs: Iterator[tuple[int, int]], dx: int, dy: int) -> Iterator[tuple[int, int, int, int]]:
-        """Of pairs below two nodes, those whose own remainders reach what their own sizes need."""
-        for x, y in pairs:
-            rx, ry = rests[x][dx], rests[y][dy]
-            if (rx if rx < ry else ry) * both >= num * (sizes[x] + sizes[y]):
-                yield x, y, places[x][dx], places[y][dy]
-
-    for start, end in roots:  # below one root: the first gram is shared
-        if end - start > 1:
-            rest, least = room(start, end, 0)
-            if rest * both >= num * 2 * least:
-                yield from below(combinations(range(start, end), 2), 0, 0)
-    for nodes in by_gram.values():  # the same gram on different paths
-        if len(nodes) < 2:
-            continue
-        rooms = [room(*node) for node in nodes]
-        for (u, (ru, lu)), (v, (rv, lv)) in combinations(zip(nodes, rooms), 2):
-            if (ru if ru < rv else rv) * both >= num * (lu + lv):
-                yield from below(product(range(u[0], u[1]), range(v[0], v[1])), u[2], v[2])
-
-
-def survivors(rows: list, num: int, den: int) -> np.ndarray:
-    """Distinct (a, b) among tested pairs: bounds on sizes, places and signatures, set by set."""
-    ra, rb, na, nb, pa_, pb, ka, kb, s0a, s0b, s1a, s1b = np.array(rows, np.int64).T
-    least = -(-(num * (na + nb)) // (num + den))
-    ok = (np.minimum(na, nb) * den >= np.maximum(na, nb) * num) & (np.minimum(na - pa_, nb - pb) >= least)
-    differ = np.bitwise_count((s0a ^ s0b).view(np.uint64)).astype(np.int64) + np.bitwise_count((s1a ^ s1b).view(np.uint64))
-    ok &= (ka + kb - differ) // 2 >= least - (-(-(num * np.maximum(na, nb)) // den)) + 1
-    return np.unique(np.stack([np.minimum(ra, rb)[ok], np.maximum(ra, rb)[ok]], 1), axis=0)
-
-
-def candidate_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b), a < b: pairs of records that may be alike, found by tries over the prefix rows."""
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """Records of one block after another: (rec, n, kept, sig0, sig1, grams, places)."""
-        block, records, now = None, [], None
-        for batch in batches:
-            for owner, lane, rec, freq, gram, n, place, kept, sig0, sig1 in zip(*(c.to_pylist() for c in batch.columns)):
-                if (owner, lane) != block:
-                    if len(records) > 1:
-                        yield records
-                    block, records, now = (owner, lane), [], None
-                if now is None or now[0] != rec:
-                    now = (rec, n, kept, sig0, sig1, [], [])
-                    records.append(now)
-                now[5].append((freq, gram))
-                now[6].append(place)
-        if len(records) > 1:
-            yield records
+AT_ONCE = 1 << 20
+FOUND = "a long, b long, old boolean"
+
+
+class Trie(NamedTuple):
+    """Nodes, and the entries (a gram of a sequence) sorted by node."""
+
+    gram: np.ndarray
+    above: np.ndarray  # the node's parent; -1 for a root
+    start: np.ndarray  # its entries: from here
+    end: np.ndarray  # to here
+    entry: np.ndarray
+
+
+def trie(row: np.ndarray, gram: np.ndarray) -> Trie:
+    """The trie of the sequences of grams; ``row`` ascends, and tells which sequence a gram is of."""
+    begins = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    depth = np.arange(len(row)) - np.repeat(begins, np.diff(np.r_[begins, len(row)]))
+    level = np.argsort(depth, kind="stable")
+    bounds = np.searchsorted(depth[level], np.arange(depth.max() + 2))
+    node = np.full(len(row), -1)
+    grams, above, made = [], [], 0
+    for d in range(len(bounds) - 1):
+        own = level[bounds[d] : bounds[d + 1]]
+        parent = node[own - 1] if d else np.full(len(own), -1)
+        order = np.lexsort((gram[own], parent))
+        g, p = gram[own][order], parent[order]
+        new = np.r_[True, (g[1:] != g[:-1]) | (p[1:] != p[:-1])]
+        node[own[order]] = made + np.cumsum(new) - 1
+        grams.append(g[new])
+        above.append(p[new])
+        made += int(new.sum())
+    entry = np.argsort(node, kind="stable")
+    start = np.searchsorted(node[entry], np.arange(made + 1))
+    return Trie(np.concatenate(grams), np.concatenate(above), start[:-1], start[1:], entry)
+
+
+def crossed(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of each range a and its range b, about ``AT_ONCE`` at a time."""
+    wide = b1 - b0
+    steps = np.maximum(1, AT_ONCE // np.maximum(wide, 1))
+    cuts = -(-(a1 - a0) // steps)
+    at = np.repeat(np.arange(len(a0)), cuts)
+    a0 = a0[at] + (np.arange(len(at)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * steps[at]
+    a1, b0, wide = np.minimum(a0 + steps[at], a1[at]), b0[at], wide[at]
+    number = (a1 - a0) * wide
+    for own in np.split(np.arange(len(a0)), np.flatnonzero(np.diff(np.cumsum(number) // AT_ONCE)) + 1):
+        if len(own):
+            each = number[own]
+            i = np.repeat(own, each)
+            k = np.arange(len(i)) - np.repeat(np.cumsum(each) - each, each)
+            yield a0[i] + k // wide[i], b0[i] + k % wide[i]
+
+
+def subtree_pairs(t: Trie, rest: np.ndarray, size: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries that share a gram and survive the bounds on their subtrees; ``rest`` and ``size`` by entry."""
+    most, least = np.maximum.reduceat(rest[t.entry], t.start), np.minimum.reduceat(size[t.entry], t.start)
+    reach = lambda u, v: np.minimum(most[u], most[v]) * (num + den) >= num * (least[u] + least[v])
+    alone = np.flatnonzero((t.above < 0) & (t.end - t.start > 1))
+    alone = alone[reach(alone, alone)]
+    for x, y in crossed(t.start[alone], t.end[alone], t.start[alone], t.end[alone]):
+        yield t.entry[x[x < y]], t.entry[y[x < y]]
+    order = np.argsort(t.gram, kind="stable")
+    gram = t.gram[order]
+    first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+    last = np.r_[first[1:], len(gram)]
+    first, last = first[last - first > 1], last[last - first > 1]
+    for i, j in crossed(first, last, first, last):
+        u, v = order[i[i < j]], order[j[i < j]]
+        pu, pv = t.above[u], t.above[v]
+        ok = reach(u, v) & ((pu < 0) | (pv < 0) | (t.gram[pu] != t.gram[pv]))
+        u, v = u[ok], v[ok]
+        for x, y in crossed(t.start[u], t.end[u], t.start[v], t.end[v]):
+            yield t.entry[x], t.entry[y]
+
+
+def candidate_pairs(rows: DataFrame, parts: int, num: int, den: int) -> DataFrame:
+    """(a, b, old): pairs of records that may be alike, found by the tries of all parts.
+
+    Of two records of one table a < b; where a table of side 0 is compared with one of side 1, a is of side
+    0 and ``old`` is true. Two records of side 0 are not paired.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tested: list = []
+        batches = [b for b in batches if len(b)]
+        if not batches:
+            return
+        rec, n, side, row, place, gram = unpacked(batches)
+        if not len(row):
+            return
+        size = n[row].astype(np.int64)
+        rest = size - place
+        found, held = [], 0
 
         def flush() -> pa.RecordBatch:
-            pairs = survivors(tested, num, den) if tested else np.empty((0, 2), np.int64)
-            tested.clear()
-            return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-        for records in blocks(batches):
-            records.sort(key=lambda r: r[5])
-            seqs = [tuple(r[5]) for r in records]
-            for x, y, px, py in block_pairs(seqs, [r[6] for r in records], [r[1] for r in records], num, den):
-                u, v = records[x], records[y]
-                if u[0] != v[0]:
-                    tested.append((u[0], v[0], u[1], v[1], px, py, u[2], v[2], u[3], v[3], u[4], v[4]))
-                if len(tested) >= TESTED_AT_ONCE:
-                    yield flush()
-        yield flush()
-
-    rows = rows.withColumn("lane", F.pmod("gram", F.lit(LANES)).cast("int"))
-    rows = rows.select("owner", "lane", "rec", "freq", "gram", "n", "place", "kept", "sig0", "sig1").repartition("owner", "lane").sortWithinPartitions("owner", "lane", "rec", "freq", "gram")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+            pairs = np.unique(np.concatenate(found), axis=0)
+            return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2] > 0)], names=["a", "b", "old"])
+
+        for x, y in subtree_pairs(trie(row, gram), rest, size, num, den):
+            ok = (np.minimum(rest[x], rest[y]) * (num + den) >= num * (size[x] + size[y])) & (np.minimum(size[x], size[y]) * den >= np.maximum(size[x], size[y]) * num)
+            u, v = row[x[ok]], row[y[ok]]
+            ok = (rec[u] != rec[v]) & (side[u] + side[v] > 0)
+            u, v = u[ok], v[ok]
+            swap = np.where(side[u] == side[v], rec[u] > rec[v], side[u] > side[v])
+            found.append(np.stack([np.where(swap, rec[v], rec[u]), np.where(swap, rec[u], rec[v]), side[u] != side[v]], 1))
+            held += len(u)
+            if held > AT_ONCE:
+                yield flush()
+                found, held = [], 0
+        if found:
+            yield flush()
+
+    return by_part(rows, parts, run, FOUND).distinct()
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, *, num: int = 3, den: int = 5, width: int = 3, least_words: int = 30) -> tuple[DataFrame, DataFrame]:
@@ -150,9 +146,12 @@ def near_duplicates(df: DataFrame, key: str, text: str, *, num: int = 3, den: in
     """
     sets = written(shingle_sets(df, key, text, width=width, least_words=least_words), "sets")
     members = classes(sets)
-    reps = representatives(sets, members)
-    pairs = written(candidate_pairs(prefix_rows(reps, num, den), num, den), "pairs")
-    return verified(pairs, reps, num, den), members
+    reps = only(sets, members.where("rec <> rep").select("rec"), "left_anti")
+    seen = ranks_of(counted(sets))
+    sent, (_, parts) = df.sparkSession.sparkContext.broadcast((seen, seen)), sized(sets)
+    pairs = candidate_pairs(prefix_rows(reps, sent, parts, num, den), parts, num, den)
+    pairs = written(near_enough(pairs, sets, num, den), "pairs")
+    return verified(pairs, sets, num, den).drop("old"), members
 
 
 def pairs_of_records(links: DataFrame, members: DataFrame) -> DataFrame:

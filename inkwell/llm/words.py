@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,6 +21,9 @@ from pyspark.sql import DataFrame
 WORD = re.compile(r"[^\W_]+")
 CACHED_WORDS = 1 << 20
 WORDS_AT_ONCE = 1 << 18
+CHARS_AT_ONCE = 1 << 19
+GRAM_BYTES = 6
+LANES = 4
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -30,6 +33,11 @@ def format_characters() -> re.Pattern:
     return re.compile("[" + "".join(map(re.escape, found)) + "]+")
 
 
+@lru_cache(None)
+def format_table() -> np.ndarray:
+    return np.array([unicodedata.category(chr(i)) == "Cf" for i in range(sys.maxunicode + 1)])
+
+
 def words(text: str) -> list[str]:
     if not text.isascii():
         text = unicodedata.normalize("NFKC", format_characters().sub("", text))
@@ -49,9 +57,40 @@ class WordHashes(dict):
 HASHES = WordHashes()
 
 
+def without_format(texts: list[str]) -> list[str]:
+    """The texts without format characters: one table lookup over the code points of all that are not ASCII."""
+    mixed = [i for i, t in enumerate(texts) if not t.isascii()]
+    points = np.frombuffer("\0".join([texts[i] for i in mixed]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    dropped = format_table()[points]
+    if dropped.any():
+        parts = points[~dropped].tobytes().decode("utf-32-le", "surrogatepass").split("\0")
+        if len(parts) != len(mixed):  # a text holds the separator itself
+            parts = [format_characters().sub("", texts[i]) for i in mixed]
+        for i, part in zip(mixed, parts):
+            texts[i] = part
+    return texts
+
+
 def word_hashes(text: str | None) -> np.ndarray:
-    found = words(text) if text else []
-    return np.fromiter(map(HASHES.__getitem__, found), np.uint64, len(found))
+    return next(hashed([text]))
+
+
+def hashed(values: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """For each text in turn, the hashes of its words; none for a null or empty one."""
+
+    def out() -> Iterator[np.ndarray]:
+        for t in without_format(held):
+            found = WORD.findall((t if t.isascii() else unicodedata.normalize("NFKC", t)).lower())
+            yield np.fromiter(map(HASHES.__getitem__, found), np.uint64, len(found))
+
+    held, size = [], 0
+    for value in values:
+        held.append(value or "")
+        size += len(held[-1])
+        if size >= CHARS_AT_ONCE:
+            yield from out()
+            held, size = [], 0
+    yield from out()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -72,39 +111,64 @@ def run_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(total)
 
 
+def to_bytes(grams: np.ndarray) -> np.ndarray:
+    """Grams of 48 bits as rows of ``GRAM_BYTES`` bytes."""
+    return np.ascontiguousarray(grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :GRAM_BYTES])
+
+
+def from_bytes(data: bytes | memoryview) -> np.ndarray:
+    rows = np.frombuffer(data, np.uint8).reshape(-1, GRAM_BYTES)
+    wide = np.zeros((len(rows), 8), np.uint8)
+    wide[:, :GRAM_BYTES] = rows
+    return wide.view("<u8").ravel()
+
+
+def flat_grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All grams of a binary column, and where each row's begin."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return from_bytes(memoryview(data)[at[0] : at[-1]] if data is not None else b""), (at - at[0]) // GRAM_BYTES
+
+
 def shingle_sets(df: DataFrame, key: str, text: str, *, width: int = 3, least_words: int = 30) -> DataFrame:
-    """One row for each text of at least ``least_words`` words: rec, n, s1, s2, grams.
+    """One row for each text of at least ``least_words`` words: rec, n, s1, s2, w0 to w3, grams.
 
-    ``grams`` holds the distinct shingle hashes, ``n`` their number; (s1, s2, n) is the same for
-    equal sets, whatever the order of their words. Null, empty and short texts give no row. Whole
-    texts are read, however long.
+    ``grams`` holds the distinct shingle hashes, of 48 bits and ascending, as bytes; ``n`` their number;
+    (s1, s2, n) is the same for equal sets, whatever the order of their words; w0 to w3 are a parity
+    signature: sets that differ in d shingles have signatures that differ in d bits at most. Null, empty
+    and short texts give no row. Whole texts are read, however long.
     """
 
     def packed(recs: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
         flat = np.concatenate(parts) if parts else np.empty(0, np.uint64)
         starts = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
-        grams = run_hashes(flat, width)
+        grams = np.append(run_hashes(flat, width) >> np.uint64(16), np.zeros(min(len(flat), width - 1), np.uint64))
         # the runs of a row are those that begin at least ``width`` words before its end
         ends = np.maximum(starts[1:] - width + 1, starts[:-1])
         kept = np.zeros(len(flat), bool)
-        for start, end in zip(starts[:-1], ends):
+        for start, end in zip(starts[:-1].tolist(), ends.tolist()):
             grams[start:end].sort()
-            kept[start + 1 : end] = grams[start + 1 : end] != grams[start : end - 1]
-            kept[start:end][:1] = True
-        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.where(kept, mix(np.append(grams, np.zeros(len(flat) - len(grams), np.uint64)) ^ m), np.uint64(0)), dtype=np.uint64)]) for m in (M1, M3)]
-        first, second = ((t[starts[1:]] - t[starts[:-1]]).view(np.int64) for t in sums)
-        offsets = np.concatenate([[0], np.cumsum(kept)])[starts].astype(np.int32)
-        flat = grams[kept[: len(grams)]].view(np.int64)
+            kept[start:end] = True
+        begins = np.zeros(len(flat) + 1, bool)
+        begins[starts] = True
+        kept[1:] &= (grams[1:] != grams[:-1]) | begins[1:-1]
+        offsets = np.concatenate([[0], np.cumsum(kept)])[starts]
+        grams = grams[kept]
+        first = offsets[:-1]
+        sums = [np.add.reduceat(mix(grams ^ m), first).view(np.int64) if len(recs) else np.empty(0, np.int64) for m in (M1, M3)]
+        bit = np.uint64(1) << (grams & np.uint64(63))
+        lane = grams >> np.uint64(6) & np.uint64(LANES - 1)
+        lanes = [np.bitwise_xor.reduceat(np.where(lane == k, bit, np.uint64(0)), first).view(np.int64) if len(recs) else np.empty(0, np.int64) for k in range(LANES)]
+        blob = pa.Array.from_buffers(pa.binary(), len(recs), [None, pa.py_buffer((offsets * GRAM_BYTES).astype(np.int32)), pa.py_buffer(to_bytes(grams))])
         return pa.record_batch(
-            [pa.array(recs, pa.int64()), pa.array(np.diff(offsets), pa.int32()), pa.array(first), pa.array(second), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-            names=["rec", "n", "s1", "s2", "grams"],
+            [pa.array(recs, pa.int64()), pa.array(np.diff(offsets).astype(np.int32)), *map(pa.array, sums), *map(pa.array, lanes), blob],
+            names=["rec", "n", "s1", "s2", *(f"w{k}" for k in range(LANES)), "grams"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             recs, parts, held = [], [], 0
-            for rec, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                hashes = word_hashes(value.as_py())
+            for rec, hashes in zip(batch.column(0).to_pylist(), hashed(v.as_py() for v in batch.column(1))):
                 if rec is None or len(hashes) < max(least_words, width):
                     continue
                 recs.append(rec)
@@ -115,4 +179,5 @@ def shingle_sets(df: DataFrame, key: str, text: str, *, width: int = 3, least_wo
                     recs, parts, held = [], [], 0
             yield packed(recs, parts)
 
-    return df.select(df[key].cast("long"), df[text].cast("string")).mapInArrow(run, "rec long, n int, s1 long, s2 long, grams array<long>")
+    lanes = ", ".join(f"w{k} long" for k in range(LANES))
+    return df.select(df[key].cast("long"), df[text].cast("string")).mapInArrow(run, f"rec long, n int, s1 long, s2 long, {lanes}, grams binary")

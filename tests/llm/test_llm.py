@@ -12,7 +12,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from inkwell.llm import catalog, hash_forest, history, leakage, lookalike, packing, tokens, trie_join, words
+from inkwell.llm import catalog, hash_forest, history, leakage, lookalike, packing, prefixes, tokens, trie_join, words
 
 RNG = random.Random(5)
 VOCABULARY = [f"w{i}" for i in range(400)]
@@ -99,7 +99,12 @@ def test_one_text_many_times_stays_one_class(spark):
 def test_trie_pairs_are_all_pairs_that_share_a_gram():
     seqs = sorted({tuple(sorted(RNG.sample(range(12), RNG.randint(1, 4)))) for _ in range(40)})
     sizes = [40] * len(seqs)  # large sets, places at the start: no bound prunes
-    found = {(x, y) if x < y else (y, x) for x, y, _, _ in trie_join.block_pairs(seqs, [tuple(range(len(s))) for s in seqs], sizes, 1, 100)}
+    row = np.repeat(np.arange(len(seqs)), [len(x) for x in seqs])
+    gram = np.array([g for x in seqs for g in x])
+    t = trie_join.trie(row, gram)
+    assert len(t.gram) == len({x[:k] for x in seqs for k in range(1, len(x) + 1)})
+    pairs = trie_join.subtree_pairs(t, np.full(len(row), 40), np.full(len(row), 40), 1, 100)
+    found = {(min(x, y), max(x, y)) for xs, ys in pairs for x, y in zip(row[xs].tolist(), row[ys].tolist())}
     assert found == {(i, j) for i, j in itertools.combinations(range(len(seqs)), 2) if {*seqs[i]} & {*seqs[j]}}
 
 
@@ -115,6 +120,38 @@ def accepted_in_order(rows):
     return sorted(cases)
 
 
+def test_backlog_in_turns(spark, texts):
+    """Turns over a backlog, with the order taken anew, give what one call and the definition give."""
+    rows = records(texts, 400)
+    df = spark.createDataFrame([(*r, r[0] // 9 if r[0] % 50 else None) for r in rows], META + ", batch_no int")
+    assert len(history.turns(df, "rec_no", "batch_no")) > 2
+    assert sorted(map(tuple, history.check_backlog(df).collect())) == accepted_in_order(rows)
+    assert history.check_backlog(df.limit(0)).count() == 0
+
+
+def test_rounds_decide_as_one_task_does(spark, texts, monkeypatch):
+    rows = records(texts)
+    monkeypatch.setattr(history, "DECIDED", 10)
+    assert sorted(map(tuple, history.check_batch(spark.createDataFrame(rows, META)).cases.collect())) == accepted_in_order(rows)
+
+
+def test_hot_grams_are_dealt_to_tiles(spark, monkeypatch):
+    """A family of unequal near-copies meets in tiles, no pair lost."""
+    base = RNG.choices(VOCABULARY, k=80)
+    rows = [(i, " ".join([*base[:i % 80], f"x{i}", *base[i % 80 + 1 :]])) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(i, j) for (i, a), (j, b) in itertools.combinations(rows, 2) if alike(a, b)}
+    monkeypatch.setattr(prefixes, "HOT", 12)
+    links, members = trie_join.near_duplicates(df, "doc_id", "text")
+    assert {(r["a"], r["b"]) for r in links.collect()} == want and len(want) == 90 * 89 // 2
+
+
+def test_scale_of_counts_keeps_order():
+    counts = np.array([0, 1, 2, 127, 128, 129, 4095, 4096, 10**6, 10**9])
+    rank = prefixes.scaled(counts)
+    assert (np.diff(rank.astype(int)) >= 0).all() and (prefixes.unscaled(rank[:-1]) >= counts[:-1]).all()
+
+
 def test_named_numbers():
     assert history.named("ＰＭＣ５０００１", "pmcid") == "A50001" == history.named("x pmc​50001.1", "id")
     assert history.named("PPR0012345", "id") == "P12345" and history.named("12345", "id") == "M12345" and history.named("12345", "pmcid") == "A12345"
@@ -135,11 +172,11 @@ def test_batches_against_history(spark, texts, tmp_path):
     want = accepted_in_order(rows)
     assert sorted(map(tuple, history.check_batch(spark.createDataFrame(rows, META)).cases.collect())) == want
     path, got = str(tmp_path / "history"), []
-    for start in range(0, 160, 60):  # the same in batches, each against what the ones before left
-        batch = spark.createDataFrame(rows[start : start + 60], META)
+    for start in (0, 20, 60, 140):  # the same in batches, each against what the ones before left
+        batch = spark.createDataFrame(rows[start : {0: 20, 20: 60, 60: 140, 140: 160}[start]], META)
         checked = history.check_batch(batch, history.History.load(spark, path) if start else None)
         got += map(tuple, checked.cases.collect())
-        checked.added.save(path, "append" if start else "overwrite")
+        checked.save(path, "append" if start else "overwrite")
     assert sorted(got) == want
 
 
