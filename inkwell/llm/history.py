@@ -35,17 +35,17 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.prefixes import BINS, bits_of, classes, counted, near_enough, only, prefix_rows, ranks_of, sendable, sized, touched, verified
+from inkwell.llm.prefixes import Counts, Ranks, bits_for, classes, counted, named_by, near_enough, only, prefix_rows, ranks_of, sendable, sized, touched, verified
 from inkwell.llm.trie_join import candidate_pairs
 from inkwell.llm.words import format_characters, shingle_sets
 from inkwell.runtime import bounded_rows, is_small, written
 
 NUMBER = re.compile(r"\d{5,}")
+ORDER = "bits int, blocks array<binary>, order_bits int, ranks binary, seen long, ordered long"
 #: Links among undecided records that one task may decide.
 DECIDED = 2_000_000
 #: A turn over a backlog takes this many times the records of all turns before it.
@@ -88,8 +88,8 @@ class History:
     keys: DataFrame
     sets: DataFrame
     segments: DataFrame
-    counts: np.ndarray  # of shingles, by bin
-    order: bytes  # the rank of each bin
+    counts: Counts  # of shingles, by bin
+    order: Ranks  # of shingles
     seen: int  # sets counted
     ordered: int  # sets counted when the order was taken
 
@@ -100,14 +100,13 @@ class History:
         """
         for name in ("keys", "sets", "segments"):
             getattr(self, name).write.mode("overwrite" if reordered and name == "segments" else mode).parquet(f"{path}/{name}")
-        row = (pa.compress(self.counts.astype(np.uint32).tobytes(), codec="zstd", asbytes=True), self.order, self.seen, self.ordered)
-        self.keys.sparkSession.createDataFrame([row], "counts binary, `order` binary, seen long, ordered long").write.mode("overwrite").parquet(f"{path}/order")
+        row = (*self.counts, *self.order, self.seen, self.ordered)
+        self.keys.sparkSession.createDataFrame([row], ORDER).write.mode("overwrite").parquet(f"{path}/order")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> History:
-        counts, order, seen, ordered = spark.read.parquet(f"{path}/order").first()
-        counts = np.frombuffer(pa.decompress(bytes(counts), BINS * 4, codec="zstd", asbytes=True), np.uint32).astype(np.int64)
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("keys", "sets", "segments")), counts, bytes(order), seen, ordered)
+        bits, blocks, order_bits, data, seen, ordered = spark.read.parquet(f"{path}/order").first()
+        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("keys", "sets", "segments")), Counts(bits, [bytes(b) for b in blocks]), Ranks(order_bits, bytes(data)), seen, ordered)
 
 
 @dataclass
@@ -181,17 +180,21 @@ def check_batch(batch: DataFrame, history: History | None = None, *, rec: str =
     sets = written(shingle_sets(batch, rec, abstract, width=width, least_words=least_words), "sets")
     members = classes(sets)
     reps = only(sets, members.where("rec <> rep").select("rec"), "left_anti")
-    counts = counted(sets, history.counts if history else None)
-    own, parts = sized(sets)
+    own, grams, parts = sized(sets)
     seen = own + (history.seen if history else 0)
     anew = history is None or seen >= 2 * history.ordered
+    if history is None:
+        counts = mine = counted(sets, bits_for(grams))
+    else:
+        bits = max(history.counts.bits, bits_for(grams)) if anew else history.counts.bits
+        mine = counted(sets, bits)
+        counts = mine.plus(history.counts if bits == history.counts.bits else counted(history.sets, bits))
     order = ranks_of(counts) if anew else history.order
     sent = spark.sparkContext.broadcast((order, order if anew else ranks_of(counts)))
     rows = prefix_rows(reps, sent, parts, num, den)
     if history is not None:
         stored = prefix_rows(history.sets, spark.sparkContext.broadcast((order, None)), parts, num, den, 0, False) if anew else history.segments
-        mine = bits_of(counts - history.counts)
-        rows = rows.unionByName(touched(stored, spark.sparkContext.broadcast((order, mine)), parts, 0))
+        rows = rows.unionByName(touched(stored, spark.sparkContext.broadcast((order, named_by(mine))), parts, 0))
     pairs = written(candidate_pairs(rows, parts, num, den), "pairs")
     both = sets if history is None else only(history.sets, pairs.where("old").select(F.col("a").alias("rec")).distinct()).unionByName(sets)
     links = verified(written(near_enough(pairs, both, num, den), "near"), both, num, den)

@@ -10,9 +10,9 @@ can lose a pair:
 * sets that share s grams differ in ``a + b - 2 s``, which the bits where their signatures differ never exceed.
 
 Any order is exact; a rare-first order is fast. It comes from counts over all sets, kept in a sketch of
-fixed size (``BINS`` bytes): a gram's rank is its bin's count, on a scale that is exact up to 128 and
+bounded size (a byte a bin, 32 MB at most): a gram's rank is its bin's count, on a scale that is exact up to 128 and
 logarithmic above, then the gram. A gram alone in its bin is held by one set only and matches nothing,
-so it only shifts places. The sketch is sent to the executors; its size doesn't depend on the data.
+so it only shifts places. The sketch is sent to the executors.
 
 Prefix grams travel as packed columns of bytes, one row for each part of the grams and batch of sets, so
 the shuffle moves about ten bytes a gram. A gram that more than ``HOT`` sets may hold is dealt to tiles
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from inkwell.llm.words import LANES, M1, M3, flat_grams, from_bytes, mix, to_bytes
 from inkwell.runtime import is_small
 
-SKETCH_BITS = 23
-BINS = 1 << SKETCH_BITS
+#: Bits of a bin's number: as many as the grams have, less one, between these.
+LEAST_BITS, MOST_BITS = 16, 25
 BLOCKS = 8
 EXACT = 128
 HOT = 4096
@@ -80,60 +81,90 @@ def unscaled(rank: np.ndarray) -> np.ndarray:
     return np.where(rank < EXACT, rank, np.ceil(EXACT * 2.0 ** ((rank.astype(np.int64) - EXACT + 1) / 8)))
 
 
-def bins_of(grams: np.ndarray) -> np.ndarray:
-    return (mix(grams + M3) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def bins_of(grams: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(grams + M3) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def counted(sets: DataFrame, before: np.ndarray | None = None) -> np.ndarray:
-    """The counts of grams by bin over all sets (int64, ``BINS`` of them), added to those of ``before``.
+def squeezed(values: np.ndarray) -> bytes:
+    return pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+
+
+def spread(data: bytes, size: int, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, size * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+
+
+class Counts(NamedTuple):
+    """How many sets hold a gram of each bin: ``BLOCKS`` compressed blocks of bins."""
+
+    bits: int
+    blocks: list[bytes]
+
+    @property
+    def size(self) -> int:
+        return (1 << self.bits) // BLOCKS
+
+    def block(self, k: int) -> np.ndarray:
+        return spread(self.blocks[k], self.size, np.uint32)
+
+    def plus(self, other: Counts) -> Counts:
+        return Counts(self.bits, [squeezed(self.block(k) + other.block(k)) for k in range(BLOCKS)])
+
+
+class Ranks(NamedTuple):
+    """The rank of each bin, or a mark of it, compressed: what is sent."""
+
+    bits: int
+    data: bytes
+
+    def table(self) -> np.ndarray:
+        return spread(self.data, 1 << self.bits, np.uint8)
+
+
+def ranks_of(counts: Counts) -> Ranks:
+    return Ranks(counts.bits, squeezed(np.concatenate([scaled(counts.block(k)) for k in range(BLOCKS)])))
+
+
+def named_by(counts: Counts) -> Ranks:
+    return Ranks(counts.bits, squeezed(np.concatenate([(counts.block(k) > 0).view(np.uint8) for k in range(BLOCKS)])))
+
+
+def bits_for(grams: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, grams.bit_length() - 1))
+
+
+def counted(sets: DataFrame, bits: int) -> Counts:
+    """The counts of grams by bin over all sets.
 
     Each task counts what it reads and gives its counts compressed; blocks of bins are summed in parallel,
-    and what reaches the driver is of fixed size.
+    and what reaches the driver is of bounded size.
     """
+    size = (1 << bits) // BLOCKS
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BINS, np.uint32)
+        total = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             grams, _ = flat_grams(batch.column(0))
             for start in range(0, len(grams), 1 << 22):
-                np.add.at(total, bins_of(grams[start : start + (1 << 22)]), 1)
-        yield summed(total, range(BLOCKS))
-
-    def summed(total: np.ndarray, blocks: range) -> pa.RecordBatch:
-        parts = [pa.compress(p.tobytes(), codec="zstd", asbytes=True) for p in np.split(total, len(blocks))]
-        return pa.record_batch([pa.array(blocks, pa.int32()), pa.array(parts, pa.binary())], names=["block", "counts"])
+                np.add.at(total, bins_of(grams[start : start + (1 << 22)], bits), 1)
+        yield pa.record_batch([pa.array(range(BLOCKS), pa.int32()), pa.array(list(map(squeezed, np.split(total, BLOCKS))), pa.binary())], names=["block", "counts"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = BINS // BLOCKS
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                more = np.frombuffer(pa.decompress(data, size * 4, codec="zstd", asbytes=True), np.uint32)
-                held[block] = held.get(block, 0) + more
+                held[block] = held.get(block, 0) + spread(data, size, np.uint32)
         for block, total in held.items():
-            yield pa.record_batch([pa.array([block], pa.int32()), pa.array([pa.compress(total.tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["block", "counts"])
+            yield pa.record_batch([pa.array([block], pa.int32()), pa.array([squeezed(total)], pa.binary())], names=["block", "counts"])
 
     found = sets.select("grams").mapInArrow(own, "block int, counts binary").repartitionById(BLOCKS, "block").mapInArrow(merge, "block int, counts binary")
-    total = np.zeros(BINS, np.int64) if before is None else before.astype(np.int64)
-    for block, data in found.collect():
-        at = block * (BINS // BLOCKS)
-        total[at : at + BINS // BLOCKS] += np.frombuffer(pa.decompress(bytes(data), BINS // BLOCKS * 4, codec="zstd", asbytes=True), np.uint32)
-    return total
+    blocks = {k: bytes(data) for k, data in found.collect()}
+    return Counts(bits, [blocks.get(k) or squeezed(np.zeros(size, np.uint32)) for k in range(BLOCKS)])
 
 
-def ranks_of(counts: np.ndarray) -> bytes:
-    """The rank of each bin, compressed."""
-    return pa.compress(scaled(counts).tobytes(), codec="zstd", asbytes=True)
-
-
-def ranks(sent: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(sent, BINS, codec="zstd", asbytes=True), np.uint8)
-
-
-def sized(sets: DataFrame) -> tuple[int, int]:
-    """The number of sets, and the parts of their grams: the cores there are, or more if a part would hold too many grams."""
+def sized(sets: DataFrame) -> tuple[int, int, int]:
+    """The numbers of sets and of their grams, and the parts of the grams: the cores there are, or more if a part would hold too many."""
     number, grams = sets.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("n").cast("long")), F.lit(0))).first()
-    return number, max(sets.sparkSession.sparkContext.defaultParallelism, math.ceil(grams / GRAMS_A_PART))
+    return number, grams, max(sets.sparkSession.sparkContext.defaultParallelism, math.ceil(grams / GRAMS_A_PART))
 
 
 def prefix_rows(sets: DataFrame, sent: object, parts: int, num: int, den: int, side: int = 1, tiles: bool = True) -> DataFrame:
@@ -144,8 +175,9 @@ def prefix_rows(sets: DataFrame, sent: object, parts: int, num: int, den: int, s
     the rows are to be stored, and ``touched`` deals them out.
     """
 
-    def packed(recs: np.ndarray, sizes: np.ndarray, grams: np.ndarray, starts: np.ndarray, rank: np.ndarray, now: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        keys = rank[bins_of(grams)].astype(np.uint64) << np.uint64(48) | grams
+    def packed(recs: np.ndarray, sizes: np.ndarray, grams: np.ndarray, starts: np.ndarray, rank: tuple[int, np.ndarray], now: tuple[int, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+        bits, rank = rank
+        keys = rank[bins_of(grams, bits)].astype(np.uint64) << np.uint64(48) | grams
         for start, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
             keys[start:end].sort()
         row = np.repeat(np.arange(len(recs)), sizes)
@@ -153,12 +185,12 @@ def prefix_rows(sets: DataFrame, sent: object, parts: int, num: int, den: int, s
         most = sizes - -(-num * sizes // den) + 1
         kept = place < most[row]
         if now is not None:
-            kept &= now[bins_of(keys & GRAM)] > 1
+            kept &= now[1][bins_of(keys & GRAM, now[0])] > 1
         keys, row, place = keys[kept], row[kept], place[kept]
         yield dealt(keys, row, place, recs, sizes, parts, side, tiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, now = (None if x is None else ranks(x) for x in sent.value)
+        rank, now = (x and (x.bits, x.table()) for x in sent.value)
         held, size = [], 0
         for batch in batches:
             held.append(batch)
@@ -169,7 +201,7 @@ def prefix_rows(sets: DataFrame, sent: object, parts: int, num: int, den: int, s
         if held:
             yield from one(held, rank, now)
 
-    def one(held: list[pa.RecordBatch], rank: np.ndarray, now: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    def one(held: list[pa.RecordBatch], rank: tuple[int, np.ndarray], now: tuple[int, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
         flat = [flat_grams(b.column(2)) for b in held]
         recs = np.concatenate([b.column(0).to_numpy() for b in held])
         sizes = np.concatenate([b.column(1).to_numpy() for b in held]).astype(np.int64)
@@ -241,26 +273,21 @@ def unpacked(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
 def touched(rows: DataFrame, sent: object, parts: int, side: int) -> DataFrame:
     """Stored packed rows, dealt out, with only those grams whose bin is named; nothing else is shuffled.
 
-    ``sent`` is a broadcast pair: the ranks that order the grams, and one bit for each bin.
+    ``sent`` is a broadcast pair: the ranks that order the grams, and a mark for each bin that is named.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, named = ranks(sent.value[0]), np.unpackbits(np.frombuffer(pa.decompress(sent.value[1], BINS // 8, codec="zstd", asbytes=True), np.uint8)).astype(bool)
+        (order, marks), rank, named = sent.value, sent.value[0].table(), sent.value[1].table().view(bool)
         for batch in batches:
             if len(batch):
                 recs, sizes, _, row, place, gram = unpacked([batch])
-                at = bins_of(gram)
-                ok = named[at]
-                keys = rank[at[ok]].astype(np.uint64) << np.uint64(48) | gram[ok]
+                ok = named[bins_of(gram, marks.bits)]
+                keys = rank[bins_of(gram[ok], order.bits)].astype(np.uint64) << np.uint64(48) | gram[ok]
                 yield dealt(keys, row[ok], place[ok], recs, sizes.astype(np.int64), parts, side, True)
 
     return rows.mapInArrow(run, PACKED)
 
 
-def bits_of(counts: np.ndarray) -> bytes:
-    return pa.compress(np.packbits(counts > 0).tobytes(), codec="zstd", asbytes=True)
-
-
 def by_part(rows: DataFrame, parts: int, run: object, schema: str) -> DataFrame:
     """``run`` over the batches of each part, one task a part."""
     return rows.repartitionById(parts, "part").mapInArrow(run, schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.prefixes import by_part, classes, counted, near_enough, only, prefix_rows, ranks_of, sized, unpacked, verified
+from inkwell.llm.prefixes import bits_for, by_part, classes, counted, near_enough, only, prefix_rows, ranks_of, sized, unpacked, verified
 from inkwell.llm.words import shingle_sets
 from inkwell.runtime import written
 
@@ -147,8 +147,9 @@ def near_duplicates(df: DataFrame, key: str, text: str, *, num: int = 3, den: in
     sets = written(shingle_sets(df, key, text, width=width, least_words=least_words), "sets")
     members = classes(sets)
     reps = only(sets, members.where("rec <> rep").select("rec"), "left_anti")
-    seen = ranks_of(counted(sets))
-    sent, (_, parts) = df.sparkSession.sparkContext.broadcast((seen, seen)), sized(sets)
+    _, grams, parts = sized(sets)
+    seen = ranks_of(counted(sets, bits_for(grams)))
+    sent = df.sparkSession.sparkContext.broadcast((seen, seen))
     pairs = candidate_pairs(prefix_rows(reps, sent, parts, num, den), parts, num, den)
     pairs = written(near_enough(pairs, sets, num, den), "pairs")
     return verified(pairs, sets, num, den).drop("old"), members

@@ -23,7 +23,7 @@ CACHED_WORDS = 1 << 20
 WORDS_AT_ONCE = 1 << 18
 CHARS_AT_ONCE = 1 << 19
 GRAM_BYTES = 6
-LANES = 4
+LANES = 8
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -131,10 +131,10 @@ def flat_grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, *, width: int = 3, least_words: int = 30) -> DataFrame:
-    """One row for each text of at least ``least_words`` words: rec, n, s1, s2, w0 to w3, grams.
+    """One row for each text of at least ``least_words`` words: rec, n, s1, s2, w0 to w7, grams.
 
     ``grams`` holds the distinct shingle hashes, of 48 bits and ascending, as bytes; ``n`` their number;
-    (s1, s2, n) is the same for equal sets, whatever the order of their words; w0 to w3 are a parity
+    (s1, s2, n) is the same for equal sets, whatever the order of their words; w0 to w7 are a parity
     signature: sets that differ in d shingles have signatures that differ in d bits at most. Null, empty
     and short texts give no row. Whole texts are read, however long.
     """
