@@ -3,10 +3,14 @@
 Items are dealt at random, by a hash of their key, to shards of about ``BINS`` containers each. In a
 shard, items are first laid best-fit, largest first. Then local search over the underfull containers
 raises the sum of squared fills: from the emptiest container on, an item moves to a fuller one,
-changes places with a smaller item there, or takes the place of two smaller ones; each step leaves a
-fuller container fuller, until the emptiest are empty and fall away. What lies in containers that
-remain underfull goes to the next level, where many shards' leavings meet in one, until one shard is
-left. Every level is a grouped map over bounded groups; the number of levels is the logarithm of the
+changes places with a smaller item there, or, where neither gains, takes the place of two smaller ones;
+each step leaves a fuller container fuller, until the emptiest are empty and fall away. The search ends
+when no step is left, or no container can fall away because the items need that many in any case.
+
+What lies in containers that remain underfull goes to the next level, in shards of ``BINS`` containers'
+worth again, until one shard is left, or until a level no longer halves the shards of a window: then its
+items fill no better (items of 60 % of the capacity, say), and the level's containers stand. So no group
+ever holds more than a shard's worth of items, and the number of levels is at most the logarithm of the
 number of shards.
 
 An item is split only if it alone exceeds the capacity: into full containers and one rest, which is
@@ -15,23 +19,21 @@ packed like an item. Items of no tokens (null, empty texts) take no room and get
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_left, insort
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.runtime import written
+from inkwell.runtime import bounded_rows, written
 
 BINS = 512
-MEET = 64
-#: Rounds of local search over a shard; each ends early if it changes nothing.
-ROUNDS = 6
+MOST_WINDOWS = 1000
 
 
 class Shard:
-    """Containers of one shard: ``bins[b]`` lists (size, item); ``fill[b]`` is their sum."""
+    """Containers of one shard: ``bins[b]`` lists (size, item), by size; ``fill[b]`` is their sum."""
 
     def __init__(self, capacity: int):
         self.capacity, self.bins, self.fill = capacity, [], []
@@ -51,53 +53,72 @@ class Shard:
             self.fill[b] += size
             if gap > size:
                 insort(gaps, (gap - size, b))
+        for content in self.bins:
+            content.sort()
 
     def put(self, source: int, own: list, target: int, theirs: list) -> None:
         for x in own:
             self.bins[source].remove(x)
-            self.bins[target].append(x)
+            insort(self.bins[target], x)
         for y in theirs:
             self.bins[target].remove(y)
-            self.bins[source].append(y)
+            insort(self.bins[source], y)
         change = sum(x[0] for x in own) - sum(y[0] for y in theirs)
         self.fill[target] += change
         self.fill[source] -= change
 
-    def step(self, source: int, targets: list[int]) -> bool:
+    def step(self, source: int) -> bool:
         """One exchange that takes most out of ``source`` into a container at least as full; False if there is none."""
+        wide = self.capacity + 1
+        fill = np.array(self.fill)
+        targets = np.flatnonzero((fill < self.capacity) & (fill >= fill[source]))
+        targets = targets[targets != source]
+        if not len(targets):
+            return False
+        gap = self.capacity - fill[targets]
+        content = [[size for size, _ in self.bins[t]] for t in targets]
+        number = np.array([len(c) for c in content])
+        starts = np.cumsum(number) - number
+        size = np.concatenate([np.array(c, np.int64) for c in content])
+        row = np.repeat(np.arange(len(targets)), number)
+        keys = size + row * wide
         best, found = 0, None
-        for target in targets:
-            gap = self.capacity - self.fill[target]
-            if target == source or gap <= best or self.fill[target] < self.fill[source]:
+        for k, (x, _) in enumerate(self.bins[source]):
+            if k and x == self.bins[source][k - 1][0]:
                 continue
-            theirs = sorted(self.bins[target])
-            for x in self.bins[source]:
-                if best < x[0] <= gap:
-                    best, found = x[0], ([x], target, [])
-                low = bisect_left(theirs, (x[0] - gap, -1))
-                if low < len(theirs) and best < x[0] - theirs[low][0] <= gap:
-                    best, found = x[0] - theirs[low][0], ([x], target, [theirs[low]])
-                # two for one: x against the two smallest of theirs that leave a gain within the gap
-                for i in range(len(theirs) - 1):
-                    if 2 * theirs[i][0] >= x[0]:
-                        break
-                    j = max(i + 1, bisect_left(theirs, (x[0] - gap - theirs[i][0], -1)))
-                    if j < len(theirs) and best < (gain := x[0] - theirs[i][0] - theirs[j][0]) <= gap:
-                        best, found = gain, ([x], target, [theirs[i], theirs[j]])
+            # an item that fits moves as it is; else the smallest of theirs that leaves a gain within the gap makes room
+            fits = np.flatnonzero(gap >= x)
+            if len(fits) and x > best:
+                best, found = x, (k, fits[np.argmin(gap[fits])], ())
+            at = np.searchsorted(keys, np.arange(len(targets)) * wide + np.maximum(x - gap, 0))
+            ok = at < starts + number
+            gain = np.where(ok, x - size[np.minimum(at, len(size) - 1)], 0)
+            t = int(np.argmax(gain))
+            if gain[t] > best:
+                best, found = int(gain[t]), (k, t, (int(at[t] - starts[t]),))
+        if not found:  # two for one
+            for k, (x, _) in enumerate(self.bins[source]):
+                first = np.flatnonzero(2 * size < x)
+                second = np.maximum(np.searchsorted(keys, row[first] * wide + np.maximum(x - gap[row[first]] - size[first], 0)), first + 1)
+                ok = second < (starts + number)[row[first]]
+                gain = np.where(ok, x - size[first] - size[np.minimum(second, len(size) - 1)], 0)
+                if len(first) and gain.max() > best:
+                    j = int(np.argmax(gain))
+                    t = int(row[first[j]])
+                    best, found = int(gain[j]), (k, t, (int(first[j] - starts[t]), int(second[j] - starts[t])))
         if found:
-            self.put(source, *found)
+            k, t, theirs = found
+            target = int(targets[t])
+            self.put(source, [self.bins[source][k]], target, [self.bins[target][i] for i in theirs])
         return bool(found)
 
     def search(self) -> None:
-        for _ in range(ROUNDS):
+        """Steps until none is left, from the emptiest container on; what a step changes is looked at again."""
+        least = -(-sum(self.fill) // self.capacity)
+        while True:
             changed = False
-            under = sorted((b for b in range(len(self.bins)) if 0 < self.fill[b] < self.capacity), key=lambda b: (self.fill[b], b))
-            for source in under[: max(1, len(under) // 4)]:
-                # a step costs the items of the targets it looks at, so it looks at the largest gaps
-                while self.fill[source]:
-                    wide = sorted((b for b in under if self.fill[b] < self.capacity), key=lambda b: self.fill[b])[:64]
-                    if not self.step(source, wide):
-                        break
+            for source in sorted((b for b in range(len(self.bins)) if 0 < self.fill[b] < self.capacity), key=lambda b: (self.fill[b], b)):
+                while self.fill[source] and sum(f > 0 for f in self.fill) > least and self.step(source):
                     changed = True
             if not changed:
                 return
@@ -134,35 +155,39 @@ def assign(sizes: DataFrame, containers: DataFrame, *, item: str = "doc_id", tok
     """(window_name, capacity, item, piece, tokens, container, used): where each item lies.
 
     ``sizes``: unique item and its tokens; ``containers``: (window_name, capacity_tokens), a short
-    table. Containers less than ``loose`` full are opened again at the next level, except at the last.
+    table of unique names. Containers less than ``loose`` full are opened again at the next level.
     Null and non-positive sizes and capacities are left out.
     """
     kinds = containers.select("window_name", F.col("capacity_tokens").cast("int").alias("capacity")).where("capacity > 0 and window_name is not null")
+    windows = bounded_rows(kinds, MOST_WINDOWS, "the table of containers")
     own = sizes.select(F.col(item).cast("long").alias("item"), F.col(tokens).cast("long").alias("tokens")).where("tokens > 0 and item is not null")
-    total = own.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    own = own.join(F.broadcast(kinds.limit(1000)), how="cross") if kinds.limit(1001).count() <= 1000 else own.crossJoin(kinds)
-    pieces = own.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("tokens") - 1) / F.col("capacity")).cast("int"))))
+    pieces = own.withColumn("w", F.explode(F.array(*(F.struct(F.lit(n).alias("window_name"), F.lit(c).alias("capacity")) for n, c in windows)))) if windows else own.limit(0).withColumn("w", F.struct(F.lit("").alias("window_name"), F.lit(1).alias("capacity")))
+    pieces = pieces.select("w.window_name", "w.capacity", "item", "tokens")
+    pieces = pieces.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("tokens") - 1) / F.col("capacity")).cast("int"))))
     pieces = pieces.withColumn("tokens", F.least(F.col("capacity").cast("long"), F.col("tokens") - F.col("piece").cast("long") * F.col("capacity")))
     full = F.col("tokens") == F.col("capacity")
     done = [pieces.where(full).select("window_name", "capacity", "item", "piece", "tokens", F.concat_ws("-", F.lit("full"), "item", "piece").alias("container"), F.col("tokens").alias("used"))]
-    rest = pieces.where(~full)
-
-    shards = F.greatest(F.lit(1), F.ceil(F.lit(total) / (F.col("capacity").cast("long") * BINS)).cast("int"))
-    rest = rest.withColumn("shard", F.pmod(F.xxhash64("item", "piece"), shards).cast("int"))
-    smallest = kinds.agg(F.min("capacity")).first()[0] or 1
-    most = max(1, math.ceil(total / (smallest * BINS)))
-    level = 0
-    while True:
-        laid = rest.withColumn("level", F.lit(level)).groupBy("window_name", "capacity", "shard").applyInPandas(_packed, PACKED)
-        if most == 1:
+
+    def shards_of(rest: DataFrame) -> dict[str, int]:
+        """The shards of each window, which are not more than there are windows, counted where the rows are."""
+        totals = rest.groupBy("window_name").agg(F.sum("tokens").alias("tokens"), F.first("capacity").alias("capacity")).collect()
+        return {r["window_name"]: -(-r["tokens"] // (r["capacity"] * BINS)) for r in totals}
+
+    rest, level = pieces.where(~full).select("window_name", "capacity", "item", "piece", "tokens"), 0
+    shards = shards_of(rest)
+    while shards:
+        number = F.create_map(*(F.lit(x) for pair in shards.items() for x in pair))[F.col("window_name")]
+        dealt = rest.withColumn("shard", F.pmod(F.xxhash64("item", "piece", F.lit(level)), number).cast("int")).withColumn("level", F.lit(level))
+        laid = dealt.groupBy("window_name", "capacity", "shard").applyInPandas(_packed, PACKED)
+        if max(shards.values()) == 1:
             done.append(laid)
             break
         laid = written(laid, "packed")
-        tight = F.col("used") >= F.col("capacity") * loose
-        done.append(laid.where(tight))
-        most = math.ceil(most / MEET)
-        rest = laid.where(~tight).select("window_name", "capacity", "item", "piece", "tokens", F.pmod(F.xxhash64("item", "piece", F.lit(level)), F.greatest(F.lit(1), F.ceil(F.lit(total) / (F.col("capacity").cast("long") * BINS * MEET ** (level + 1))).cast("int"))).cast("int").alias("shard"))
-        level += 1
+        open_ = (F.col("used") < F.col("capacity") * loose) & F.col("window_name").isin([n for n, k in shards.items() if k > 1])
+        fewer = {n: k for n, k in shards_of(laid.where(open_)).items() if 2 * k <= shards[n]}
+        open_ = open_ & F.col("window_name").isin([*fewer])
+        done.append(laid.where(~open_))
+        rest, shards, level = laid.where(open_).select("window_name", "capacity", "item", "piece", "tokens"), fewer, level + 1
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

@@ -420,11 +420,33 @@ def test_packing(spark):
 def test_local_search_empties_a_container():
     """Best fit leaves three containers here; two hold all."""
     shard = packing.Shard(10)
-    shard.bins, shard.fill = [[(6, 0), (2, 1)], [(5, 2), (3, 3)], [(4, 4)]], [8, 8, 4]
+    shard.bins, shard.fill = [[(2, 1), (6, 0)], [(3, 3), (5, 2)], [(4, 4)]], [8, 8, 4]
     shard.search()
     assert sorted(f for f in shard.fill if f) == [10, 10]
 
 
+def test_search_leaves_no_step():
+    shard = packing.Shard(100)
+    shard.lay([(RNG.randint(20, 60), i) for i in range(300)])
+    before = [f for f in shard.fill if f]
+    shard.search()
+    after = [f for f in shard.fill if f]
+    assert sum(before) == sum(after) and len(after) <= len(before) and max(after) <= 100
+    assert len(after) == -(-sum(after) // 100) or not any(shard.step(b) for b in range(len(shard.bins)) if 0 < shard.fill[b] < 100)
+
+
+def test_items_that_fill_badly_stay_in_their_shards(spark, monkeypatch):
+    """Items of 60 % of the capacity fill no container well; no level gathers them in one group."""
+    monkeypatch.setattr(packing, "BINS", 16)
+    sizes = spark.createDataFrame([(i, RNG.randint(590, 610)) for i in range(2000)], "doc_id long, tokens long")
+    kinds = spark.createDataFrame([("w", 1000)], "window_name string, capacity_tokens int")
+    rows = packing.assign(sizes, kinds).collect()
+    groups = {}
+    for r in rows:
+        groups[r["container"].rsplit("-", 1)[0]] = groups.get(r["container"].rsplit("-", 1)[0], 0) + 1
+    assert len(rows) == len({r["container"] for r in rows}) == 2000 and max(groups.values()) < 80 and len(groups) > 30
+
+
 def test_all_queries_run(spark, data):
     for name, query in catalog.QUERIES.items():
         assert query(spark, data).count() >= 0, name
