@@ -13,6 +13,9 @@ Trees carry vectors as 16-bit numbers. They keep every candidate whose score com
 that rounding of the k-th best, or of being returned, however many these are; the pairs are then scored
 again on the vectors as they are.
 
+A query is sent to every part of a tree that its node reaches into, so a node across split points is searched
+whole. Vectors of one full string that are more than a part should hold lie in several parts.
+
 Copies: equal vectors are one entry of the forest, whatever their number, and are expanded at the
 end, so that a vector which a third of all rows repeat loads no task. Vectors that are nearly equal
 have equal strings; their node is scored whole, in blocks, however many it holds.
@@ -124,22 +127,40 @@ def near_best(r: np.ndarray, v: np.ndarray, keep: int, margin: float) -> np.ndar
     return (kth > last) | (v >= v[np.minimum(kth, last)] - margin)
 
 
-def scored(code: np.ndarray, level: np.ndarray, unit: np.ndarray, keep: int, least: float, margin: float = 0.0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Walk one sorted array: for each node where queries stop, score them against the node's interval."""
+def scored(code: np.ndarray, unit: np.ndarray, asked: np.ndarray, level: np.ndarray, query: np.ndarray, keep: int, least: float, margin: float = 0.0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, vector, score) along one sorted array: the queries that stop at one node against what the node holds here.
+
+    ``asked``, ``level`` and ``query`` are the queries' codes, levels and vectors, ``code`` and ``unit`` the
+    array's, ascending by code.
+    """
     for length in np.unique(level):
         shift = SYMBOL_BITS * (SYMBOLS - int(length))
-        prefix = code >> shift
+        own = np.flatnonzero(level == length)
+        prefix = asked[own] >> shift
+        order = np.argsort(prefix, kind="stable")
+        own, prefix = own[order], prefix[order]
         starts = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]])
-        ends = np.r_[starts[1:], len(code)]
-        asks = level == length
-        here = np.add.reduceat(asks, starts)
-        for lo, hi in zip(starts[(here > 0) & (ends - starts > 1)], ends[(here > 0) & (ends - starts > 1)]):
-            query = lo + np.flatnonzero(asks[lo:hi])
-            for start in range(lo, hi, 2 * NODE):
-                stop = min(hi, start + 2 * NODE)
-                for own in np.split(query, range(1024, len(query), 1024)):
-                    r, c, v = best(own, unit[own], unit[start:stop], keep, least, margin)
-                    yield r, c + start, v
+        low = np.searchsorted(code, prefix[starts] << shift, "left")
+        high = np.searchsorted(code, prefix[starts] + 1 << shift, "left")
+        for k, start, end in zip(range(len(starts)), starts, np.r_[starts[1:], len(own)]):
+            for first in range(low[k], high[k], 2 * NODE):
+                last = min(high[k], first + 2 * NODE)
+                for some in np.split(own[start:end], range(1024, end - start, 1024)):
+                    r, c, v = best(some, query[some], unit[first:last], keep, least, margin)
+                    yield r, c + first, v
+
+
+def nodes_of(code: np.ndarray, level: np.ndarray, splits: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each vector its own part of a tree, and the first and the last part that its node reaches into.
+
+    Parts lie between split points. Where one code holds several split points, for more vectors have it than
+    a part should hold, those vectors are dealt to the parts between by ``salt``.
+    """
+    low, high = np.searchsorted(splits, code, "left"), np.searchsorted(splits, code, "right")
+    shift = SYMBOL_BITS * (SYMBOLS - level)
+    node = code >> shift << shift
+    first, last = np.searchsorted(splits, node, "left"), np.searchsorted(splits, node + (np.int64(1) << shift) - 1, "right")
+    return low + (salt.view(np.uint64) % (high - low + 1).astype(np.uint64)).astype(np.int64), first, last
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -186,28 +207,32 @@ def most_similar(df: DataFrame, key: str, embedding: str, *, k: int = 5, dim: in
         for batch in batches:
             if not len(batch):
                 continue
-            unit = normalized(matrix(batch.column(1), dim))
+            unit, h1 = normalized(matrix(batch.column(1), dim)), batch.column(0).to_numpy()
             codes = hash_strings(unit, trees)
             level = levels(codes, sample, scale, wanted).astype(np.int8)
             small = pa.Array.from_buffers(pa.binary(2 * dim), len(unit), [None, pa.py_buffer(quantized(unit).tobytes())])
             for t in range(trees):
-                part = t * each + np.searchsorted(splits[:, t], codes[:, t], "right") if len(splits) else np.full(len(unit), t * each)
-                yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(codes[:, t]), batch.column(0), pa.array(level), small.cast(pa.binary())], names=["part", "code", "h1", "level", "q"])
+                home, first, last = nodes_of(codes[:, t], level.astype(np.int64), splits[:, t], h1)
+                at = np.repeat(np.arange(len(unit)), last - first + 1)
+                part = first[at] + np.arange(len(at)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1)
+                own = pa.array(at)
+                yield pa.record_batch([pa.array((t * each + part).astype(np.int32)), pa.array(codes[at, t]), batch.column(0).take(own), pa.array(level[at]), small.take(own).cast(pa.binary()), pa.array(part == home[at])], names=["part", "code", "h1", "level", "q", "home"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # one partition holds a range of one tree; its size is set by ``partitions``
-        cols = [[] for _ in range(4)]
+        cols = [[] for _ in range(5)]
         for batch in batches:
             for c, name in zip(cols, ("code", "h1", "level")):
                 c.append(batch.column(name).to_numpy())
+            cols[4].append(batch.column("home").to_numpy(zero_copy_only=False))
             q = batch.column("q")
             at = np.frombuffer(q.buffers()[1], np.int32)[q.offset : q.offset + len(q) + 1]
             cols[3].append(np.frombuffer(q.buffers()[2], np.int16, (at[-1] - at[0]) // 2, at[0]).reshape(len(q), dim))
         if not cols[0]:
             return
-        code, h1, level, q = (np.concatenate(c) for c in cols)
+        code, h1, level, q, home = (np.concatenate(c) for c in cols)
         order = np.argsort(code, kind="stable")
-        code, h1, level, unit = code[order], h1[order], level[order].astype(np.int64), q[order].astype(np.float32)
+        code, h1, level, unit, home = code[order], h1[order], level[order].astype(np.int64), q[order].astype(np.float32), np.flatnonzero(home[order])
         lengths = np.linalg.norm(unit, axis=1, keepdims=True)
         unit /= lengths
         margin = 2 * rounding(dim, float(lengths.min()))
@@ -215,7 +240,8 @@ def most_similar(df: DataFrame, key: str, embedding: str, *, k: int = 5, dim: in
 
         def merged() -> pa.RecordBatch:
             r, c, v = (np.concatenate(x) for x in zip(*held))
-            ok = r != c
+            c = home[c]
+            ok = h1[r] != h1[c]
             r, c, v = r[ok], c[ok], v[ok]
             order = np.lexsort((-v, r))
             r, c, v = r[order], c[order], v[order]
@@ -223,7 +249,7 @@ def most_similar(df: DataFrame, key: str, embedding: str, *, k: int = 5, dim: in
             return pa.record_batch([pa.array(h1[r[ok]]), pa.array(h1[c[ok]]), pa.array(v[ok].astype(np.float32))], names=["qa", "qb", "score"])
 
         size = 0
-        for part in scored(code, level, unit, keep, floor, margin):
+        for part in scored(code[home], unit[home], code, level, unit, keep, floor, margin):
             held.append(part)
             size += len(part[0])
             if size > 1 << 20:
@@ -232,7 +258,7 @@ def most_similar(df: DataFrame, key: str, embedding: str, *, k: int = 5, dim: in
         if held:
             yield merged()
 
-    planted = entries.select("h1", "v").mapInArrow(plant, "part int, code long, h1 long, level byte, q binary")
+    planted = entries.select("h1", "v").mapInArrow(plant, "part int, code long, h1 long, level byte, q binary, home boolean")
     found = planted.repartitionById(each * trees, "part").mapInArrow(walk, "qa long, qb long, score float")
     found = found.groupBy("qa", "qb").agg(F.max("score").alias("score"))
     rank = Window.partitionBy("qa").orderBy(F.desc("score"), "qb")

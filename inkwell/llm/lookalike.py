@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.words import M1, M2, M3, mix
+from inkwell.runtime import written
 
 #: Letters of the same shape, as pairs (Cyrillic or Greek letter, letter it becomes).
 SAME_SHAPE = (
@@ -261,18 +262,38 @@ def groups(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(df[key].cast("long"), df[text].cast("string")).mapInArrow(lambda b: _run(b, True), "rec long, f1 long, f2 long, r1 long, r2 long, solid boolean").where("solid and rec is not null").drop("solid")
 
 
+def spellings(hashed: DataFrame) -> DataFrame:
+    """(f1, f2, r1, r2, copies): the spellings of forms that have several, pre-aggregated where the rows are."""
+    spelled = hashed.groupBy("f1", "f2", "r1", "r2").agg(F.count(F.lit(1)).alias("copies"))
+    several = spelled.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("spellings")).where("spellings > 1").select("f1", "f2")
+    return spelled.join(several, ["f1", "f2"], "left_semi")
+
+
 def lookalikes(df: DataFrame, key: str, text: str) -> DataFrame:
     """(a, b), a < b: records whose non-blank texts have one form but differ.
 
-    Only forms with more than one spelling take part: spellings are counted per form, one row for
-    each spelling, so that a form copied without end adds nothing. Spellings of a form are paired,
-    and each pair is joined with the records on both sides.
+    Only forms with more than one spelling take part, so a form copied without end adds nothing. Two
+    spellings of a form are paired once, and each pair is joined with the records on both sides: no
+    two copies of one spelling meet.
     """
-    hashed = groups(df, key, text)
+    hashed = written(groups(df, key, text), "forms")
+    spelled = spellings(hashed)
+    form, other = ["f1", "f2"], [F.col("r1").alias("v1"), F.col("r2").alias("v2")]
+    pairs = spelled.select(*form, "r1", "r2").join(spelled.select(*form, *other), form).where("r1 < v1 or r1 = v1 and r2 < v2")
+    left = hashed.select(*form, "r1", "r2", F.col("rec").alias("x"))
+    right = hashed.select(*form, *other, F.col("rec").alias("y"))
+    both = pairs.join(left, [*form, "r1", "r2"]).join(right, [*form, "v1", "v2"])
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(rec, class_id, copies, links): one row for each record with a non-blank text.
+
+    ``class_id`` is the smallest rec of the same form, ``copies`` counts the records of the same spelling,
+    ``links`` those of the same form in other spellings. No pair is made.
+    """
+    hashed = written(groups(df, key, text), "forms")
+    form = hashed.groupBy("f1", "f2").agg(F.min("rec").alias("class_id"), F.count(F.lit(1)).alias("held"))
     spelled = hashed.groupBy("f1", "f2", "r1", "r2").agg(F.count(F.lit(1)).alias("copies"))
-    several = spelled.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("spellings")).where("spellings > 1").select("f1", "f2")
-    own = hashed.join(several, ["f1", "f2"], "left_semi")
-    left = own.select("f1", "f2", F.col("r1").alias("u1"), F.col("r2").alias("u2"), F.col("rec").alias("a"))
-    right = own.select("f1", "f2", F.col("r1").alias("v1"), F.col("r2").alias("v2"), F.col("rec").alias("b"))
-    both = left.join(right, ["f1", "f2"]).where("a < b and (u1 <> v1 or u2 <> v2)")
-    return both.select("a", "b")
+    both = hashed.join(spelled, ["f1", "f2", "r1", "r2"]).join(form, ["f1", "f2"])
+    return both.select("rec", "class_id", "copies", (F.col("held") - F.col("copies")).alias("links"))

@@ -39,6 +39,11 @@ def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.forms(read(spark, folder, "documents"), "doc_id", "text").select(F.col("rec").alias("doc_id"), "form")
 
 
+def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document with a non-blank text: its class of equal form, its copies and its number of links."""
+    return lookalike.classes(read(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("rec", "doc_id")
+
+
 def counted_documents(spark: SparkSession, folder: str, how: str = "pair_merge") -> DataFrame:
     """doc_id, source, lang, domain, source_type, tokens, under the tokenizer named in context_windows."""
     keep = ["doc_id", "source", "lang", "domain", "source_type"]

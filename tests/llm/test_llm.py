@@ -284,6 +284,8 @@ def test_forms(spark):
     solid = [(i, t, expected_form(t)) for i, t in enumerate(texts) if t and expected_form(t).strip()]
     assert got == {(i, j) for (i, a, x), (j, b, y) in itertools.combinations(solid, 2) if x == y and a != b}
     assert lookalike.lookalikes(df.limit(0), "doc_id", "text").count() == 0
+    rows = {r["rec"]: (r["class_id"], r["copies"], r["links"]) for r in lookalike.classes(df, "doc_id", "text").collect()}
+    assert rows == {i: (min(j for j, _, y in solid if x == y), sum(b == a for _, b, _ in solid), sum(y == x and b != a for _, b, y in solid)) for i, a, x in solid}
 
 
 def brute_neighbours(vectors, k):
@@ -316,13 +318,28 @@ def test_large_nodes_of_full_depth_are_scored_whole(monkeypatch):
     rng = np.random.default_rng(6)
     unit = hash_forest.normalized(rng.standard_normal(64) + 0.05 * rng.standard_normal((1000, 64)))
     got = {}
-    for r, c, v in hash_forest.scored(np.zeros(1000, np.int64), np.full(1000, hash_forest.SYMBOLS), unit, 8, 0.5):
+    same = np.zeros(1000, np.int64)
+    for r, c, v in hash_forest.scored(same, unit, same, np.full(1000, hash_forest.SYMBOLS), unit, 8, 0.5):
         for x in zip(r.tolist(), c.tolist(), v.tolist()):
             got.setdefault(x[0], []).append(x)
     want = brute_neighbours([*enumerate(unit.tolist())], 5)
     assert all({*want[a]} <= {c for _, c, _ in sorted(got[a], key=lambda x: -x[2])[:8]} for a in want)
 
 
+def test_splits_lose_nothing(spark):
+    """However many parts a tree has, and though half of all vectors have one string, the same neighbours are found."""
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal(64)
+    vectors = [(f"v{i:04d}", (base + 1e-5 * rng.standard_normal(64) if i % 2 else rng.standard_normal(64)).tolist()) for i in range(800)]
+    df = spark.createDataFrame(vectors, "chunk_id string, embedding array<float>")
+    few, many = (sorted(map(tuple, hash_forest.most_similar(df, "chunk_id", "embedding", wanted=60, partitions=n).select("a", "b").collect())) for n in (10, 120))
+    assert few == many
+    code = np.array([3, 5, 5, 5, 9]) << 56
+    splits = np.array([5, 5, 7]) << 56
+    home, first, last = hash_forest.nodes_of(code, np.array([1, 1, 15, 1, 1]), splits, np.arange(5))
+    assert home.tolist() == [0, 1, 2, 0, 3] and first.tolist() == [0, 0, 0, 0, 3] and last.tolist() == [0, 2, 2, 2, 3]
+
+
 def test_neighbours_in_tight_families(spark):
     """300 vectors with cosines of 0.9998 and more: rounding in the trees must not decide who is nearest."""
     rng = np.random.default_rng(8)
