@@ -198,3 +198,15 @@ def unused(assigned: DataFrame) -> DataFrame:
     """Containers, tokens and unused share of each window."""
     bins = assigned.groupBy("window_name", "capacity", "container").agg(F.sum("tokens").alias("used"), F.count(F.lit(1)).alias("items"))
     return bins.groupBy("window_name", "capacity").agg(F.count(F.lit(1)).alias("containers"), F.sum("items").alias("items"), F.sum("used").alias("tokens"), F.sum(F.col("capacity") - F.col("used")).alias("unused"), F.round(F.sum(F.col("capacity") - F.col("used")) / (F.count(F.lit(1)) * F.first("capacity")), 6).alias("unused_share"))
+
+
+def checked(assigned: DataFrame, sizes: DataFrame, *, item: str = "doc_id", tokens: str = "tokens") -> DataFrame:
+    """(window_name, capacity, overfull, wrongly_split, wrong_sum, items): what must be 0, and the items laid."""
+    window = ["window_name", "capacity"]
+    bins = assigned.groupBy(*window, "container").agg(F.sum("tokens").alias("used"), F.max("used").alias("said"))
+    bins = bins.groupBy(*window).agg(F.count_if((F.col("used") > F.col("capacity")) | (F.col("used") != F.col("said"))).alias("overfull"))
+    own = assigned.groupBy(*window, "item").agg(F.sum("tokens").alias("laid"), F.count(F.lit(1)).alias("pieces"))
+    own = own.join(sizes.select(F.col(item).alias("item"), F.col(tokens).alias("size")), "item", "left")
+    split = F.col("pieces") != F.ceil(F.col("size") / F.col("capacity"))
+    own = own.groupBy(*window).agg(F.count_if(split).alias("wrongly_split"), F.count_if(~F.col("laid").eqNullSafe(F.col("size"))).alias("wrong_sum"), F.count(F.lit(1)).alias("items"))
+    return bins.join(own, window)

@@ -47,34 +47,42 @@ def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
 def counted_documents(spark: SparkSession, folder: str, how: str = "pair_merge") -> DataFrame:
     """doc_id, source, lang, domain, source_type, tokens, under the tokenizer named in context_windows."""
     keep = ["doc_id", "source", "lang", "domain", "source_type"]
-    return tokens.token_counts(read(spark, folder, "documents"), keep, "text", name=named_vocabulary(spark, folder), how=how)
+    return tokens.token_counts(read(spark, folder, "documents"), keep, "text", of=tokens.vocabulary(named_tokenizer(spark, folder)[1]), how=how)
 
 
-def named_vocabulary(spark: SparkSession, folder: str) -> str:
+def named_tokenizer(spark: SparkSession, folder: str) -> tuple[str, str]:
+    """The tokenizer that context_windows names, and the vocabulary that is counted under."""
     names = {r[0] for r in bounded_rows(read(spark, folder, "context_windows").select("tokenizer").distinct(), 100, "the tokenizers in use")}
     if len(names) != 1:
         raise ValueError(f"context_windows must name one tokenizer, not {sorted(map(str, names))}")
     name = names.pop()
-    return tokens.STAND_INS.get(name, name)
+    return name, tokens.STAND_INS.get(name, name)
+
+
+def said(totals: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """With the tokenizer asked for and the vocabulary that stands in for it."""
+    return totals.withColumns({"tokenizer": F.lit(names[0]), "counted_with": F.lit(names[1])})
 
 
 def p3_token_budget(spark: SparkSession, folder: str) -> DataFrame:
     """Totals over documents and chunks; a chunk's journal is its source, its language and domain are its article's.
 
-    Of several documents with one pmcid, the one with the smallest doc_id counts.
+    Of several documents with one pmcid, the one with the smallest doc_id counts. Rows of a chunk repeated
+    whole count once: they are brought together after counting, so that no text is shuffled.
     """
     articles = read(spark, folder, "documents").where("pmcid is not null").groupBy("pmcid").agg(F.min_by(F.struct("lang", "domain"), "doc_id").alias("of"))
-    chunks = read(spark, folder, "embedded_chunk").groupBy("chunk_id", "journal", "source_type", "text").agg(F.min("pmcid").alias("pmcid"))
-    chunks = chunks.join(articles, "pmcid", "left").select(F.col("journal").alias("source"), "of.lang", "of.domain", "source_type", "text")
-    name = named_vocabulary(spark, folder)
-    counted = tokens.token_counts(chunks, ["source", "lang", "domain", "source_type"], "text", name=name)
+    names = named_tokenizer(spark, folder)
+    chunks = read(spark, folder, "embedded_chunk").withColumn("same", F.xxhash64("text"))
+    counted = tokens.token_counts(chunks, ["chunk_id", "pmcid", "journal", "source_type", "same"], "text", of=tokens.vocabulary(names[1]))
+    counted = counted.groupBy("chunk_id", "journal", "source_type", "same", "tokens").agg(F.min("pmcid").alias("pmcid"))
+    counted = counted.join(articles, "pmcid", "left").select(F.col("journal").alias("source"), "of.lang", "of.domain", "source_type", "tokens")
     whole = tokens.budget(counted_documents(spark, folder)).withColumn("kind", F.lit("documents"))
-    return whole.unionByName(tokens.budget(counted).withColumn("kind", F.lit("chunks")))
+    return said(whole.unionByName(tokens.budget(counted).withColumn("kind", F.lit("chunks"))), names)
 
 
 def p3_longest_match(spark: SparkSession, folder: str) -> DataFrame:
     """The budget of documents under greedy longest match over the same vocabulary."""
-    return tokens.budget(counted_documents(spark, folder, "longest_match"))
+    return said(tokens.budget(counted_documents(spark, folder, "longest_match")), named_tokenizer(spark, folder))
 
 
 def p6_assignment(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,6 +94,13 @@ def p6_unused(spark: SparkSession, folder: str) -> DataFrame:
     return packing.unused(p6_assignment(spark, folder))
 
 
+def p6_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """For each window: containers above the capacity, items split though they fit, items whose pieces don't sum to them, items laid."""
+    sizes = written(counted_documents(spark, folder).select("doc_id", "tokens"), "sizes")
+    laid = packing.assign(sizes, read(spark, folder, "context_windows"))
+    return packing.checked(written(laid, "laid"), sizes)
+
+
 def p2_last_batch(spark: SparkSession, folder: str) -> DataFrame:
     """The cases of the newest batch, checked against the history that the batches before it leave."""
     meta = read(spark, folder, "metadata_all")

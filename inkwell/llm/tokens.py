@@ -18,12 +18,13 @@ The public vocabularies at hand are byte-pair ones, for which longest match is n
 
 from __future__ import annotations
 
+import ast
 import base64
-import importlib.util
 import os
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Where the vocabulary files are; a parameter of every function that needs one.
+#: Where the driver finds the vocabulary files; a parameter of ``vocabulary``.
 VOCABULARIES = "/opt/tokenizers"
 #: The tokenizer named in the tables has no public file here; this one, of the same kind and for many languages, stands in for it.
 STAND_INS = {"cl100k_base": "byte_bpe_multi_50k.tiktoken"}
 CACHED = 1 << 19
+#: A vocabulary is sent to every executor.
+MOST_BYTES = 1 << 26
 
 
 class _Trie:
@@ -177,52 +180,55 @@ class PairMerge:
         return number
 
 
-@lru_cache(4)
-def ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+class Vocabulary(NamedTuple):
+    """A byte-pair vocabulary: its file's bytes and the pattern that splits a text before the merges."""
 
+    name: str
+    data: bytes
+    pattern: str
 
-@lru_cache(4)
-def pair_merge(path: str) -> PairMerge:
-    return PairMerge(ranks(path))
+    def ranks(self) -> dict[bytes, int]:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in self.data.splitlines() if line.strip())}
 
 
-@lru_cache(4)
-def longest_match(path: str) -> LongestMatch:
-    table = ranks(path)
-    return LongestMatch(sorted(table, key=table.__getitem__))
+def vocabulary(name: str, folder: str = VOCABULARIES) -> Vocabulary:
+    """Read on the driver; executors get it by broadcast. Its size is checked, and the pattern is read as a literal."""
+    if (size := os.path.getsize(path := os.path.join(folder, name))) > MOST_BYTES:
+        raise ValueError(f"the vocabulary {name} has {size} bytes, more than {MOST_BYTES}")
+    with open(path, "rb") as f:
+        data = f.read()
+    with open(os.path.join(folder, "__init__.py"), encoding="utf-8") as f:
+        named = [n.value for n in ast.parse(f.read()).body if isinstance(n, ast.Assign) and getattr(n.targets[0], "id", "") == "PATTERN"]
+    return Vocabulary(name, data, ast.literal_eval(named[0]))
 
 
 @lru_cache(4)
-def splitter(folder: str) -> regex.Pattern:
-    """The pattern, given with the vocabulary files, that splits a text before the merges."""
-    spec = importlib.util.spec_from_file_location("vocabulary_files", os.path.join(folder, "__init__.py"))
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
-    return regex.compile(module.PATTERN)
-
-
-def count_tokens(text: str, folder: str, name: str) -> int:
-    counts = pair_merge(os.path.join(folder, name))
-    return sum(map(counts, splitter(folder).findall(text)))
+def counter(of: Vocabulary, how: str) -> Callable[[str], int]:
+    """The count of tokens of a text, under ``how`` (see ``token_counts``)."""
+    table = of.ranks()
+    if how == "longest_match":
+        longest = LongestMatch(sorted(table, key=table.__getitem__))
+        return lambda text: longest.count(text.encode("utf-8", "surrogatepass"))
+    counts, pieces = PairMerge(table), regex.compile(of.pattern)
+    return lambda text: sum(map(counts, pieces.findall(text)))
 
 
-def token_counts(df: DataFrame, keep: list[str], text: str, *, folder: str = VOCABULARIES, name: str, how: str = "pair_merge") -> DataFrame:
+def token_counts(df: DataFrame, keep: list[str], text: str, *, of: Vocabulary, how: str = "pair_merge") -> DataFrame:
     """``keep`` and ``tokens``: the number of tokens of each whole text; 0 for a null or empty one.
 
     ``how``: "pair_merge" for the exact count of a byte-pair vocabulary, "longest_match" for greedy
     longest match over the same tokens.
     """
     own = df.select(*[df[c] for c in keep], df[text].cast("string").alias("__text"))
+    sent = df.sparkSession.sparkContext.broadcast(of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longest = longest_match(os.path.join(folder, name)) if how == "longest_match" else None
+        count = counter(sent.value, how)
         for batch in batches:
             counts = np.zeros(len(batch), np.int64)
             for i, value in enumerate(batch.column(len(keep))):
                 if value.is_valid and (t := value.as_py()):
-                    counts[i] = longest.count(t.encode("utf-8", "surrogatepass")) if longest else count_tokens(t, folder, name)
+                    counts[i] = count(t)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts)], names=[*keep, "tokens"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])

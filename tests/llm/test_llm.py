@@ -6,7 +6,9 @@ import os
 import random
 import sys
 import unicodedata
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 import regex
@@ -372,11 +374,12 @@ needs_vocabularies = pytest.mark.skipif(not os.path.isdir(tokens.VOCABULARIES),
 @pytest.mark.parametrize("name", ["byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken"])
 def test_token_counts_are_exact(name):
     tiktoken = pytest.importorskip("tiktoken")
-    table = tokens.ranks(f"{tokens.VOCABULARIES}/{name}")
-    own = tiktoken.Encoding("own", pat_str=tokens.splitter(tokens.VOCABULARIES).pattern, mergeable_ranks=table, special_tokens={})
+    of = tokens.vocabulary(name)
+    own = tiktoken.Encoding("own", pat_str=of.pattern, mergeable_ranks=of.ranks(), special_tokens={})
+    count = tokens.counter(of, "pair_merge")
     letters = "abcdefgh ABC 0123 .,;-\n\téüñ日本語Ωж😀'st"
     for t in ["", " ", "<|endoftext|>", "don't", *("".join(RNG.choices(letters, k=RNG.randint(1, 60))) for _ in range(400)), "ab" * 3000]:
-        assert tokens.count_tokens(t, tokens.VOCABULARIES, name) == len(own.encode_ordinary(t))
+        assert count(t) == len(own.encode_ordinary(t))
 
 
 def greedy(text, vocabulary):
@@ -396,11 +399,27 @@ def test_longest_match():
             assert automaton.count(t) == greedy(t, vocabulary)
 
 
+@needs_vocabularies
+def test_longest_match_over_a_public_vocabulary(data):
+    """The failure links count what a plain greedy scan of the bytes does, over whole documents."""
+    import pyarrow.parquet as pq
+
+    of = tokens.vocabulary(tokens.STAND_INS["cl100k_base"])
+    count, table = tokens.counter(of, "longest_match"), of.ranks()
+    longest = max(map(len, table))
+    for t in pq.read_table(f"{data}/documents.parquet", columns=["text"])["text"].to_pylist()[::8]:
+        raw, n, i = (t or "").encode(), 0, 0
+        while i < len(raw):
+            i += next((k for k in range(longest, 1, -1) if raw[i : i + k] in table), 1)
+            n += 1
+        assert count(t or "") == n
+
+
 @needs_vocabularies
 def test_budget(spark):
     rows = [(1, "Open  Omics ", "EN", "META", "Genomics", "a b"), (2, "OPEN OMICS", "en-XX", "metadata_only", "genomics", None), (3, None, "und", "", None, ""), (4, " ", None, None, " ", "c"), (5, "x", "de ", "full_text", "y", "d")]
     df = spark.createDataFrame(rows, "doc_id long, source string, lang string, source_type string, domain string, text string").withColumn("tokens", F.lit("clash"))
-    counted = tokens.token_counts(df.drop("tokens"), ["doc_id", "source", "lang", "domain", "source_type"], "text", name="byte_bpe_50k.tiktoken")
+    counted = tokens.token_counts(df.drop("tokens"), ["doc_id", "source", "lang", "domain", "source_type"], "text", of=tokens.vocabulary("byte_bpe_50k.tiktoken"))
     got = {tuple(r) for r in tokens.budget(counted).collect()}
     assert got == {("open omics", "en", "genomics", "metadata_only", 2, 1, 2), ("unknown", "unknown", "unknown", "unknown", 2, 1, 1), ("x", "de", "y", "fulltext", 1, 1, 1)}
 
@@ -464,9 +483,22 @@ def test_items_that_fill_badly_stay_in_their_shards(spark, monkeypatch):
     assert len(rows) == len({r["container"] for r in rows}) == 2000 and max(groups.values()) < 80 and len(groups) > 30
 
 
-def test_all_queries_run(spark, data):
-    for name, query in catalog.QUERIES.items():
-        assert query(spark, data).count() >= 0, name
+def test_same_rows_in_sql(spark, data):
+    """Every query with SQL gives the same rows in Spark and DuckDB, over the whole small tables."""
+    con = duckdb.connect()
+    for f in Path(data).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
+    for name, sql in catalog.SQL.items():
+        want = con.execute(sql)
+        columns = [d[0] for d in want.description]
+        got = catalog.QUERIES[name](spark, data)
+        assert sorted(got.columns) == sorted(columns), name
+        assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want.fetchall()), name
+
+
+def test_other_queries_run(spark, data):
+    for name in {*catalog.QUERIES} - {*catalog.SQL}:
+        assert catalog.QUERIES[name](spark, data).count() >= 0, name
 
 
 def test_classes_have_every_document(spark, tmp_path):
