@@ -58,14 +58,35 @@ PILOT_TIERS = {
     2: ["BMC Bioinformatics", "Bioinformatics", "PLOS Computational Biology", "PLoS Computational Biology", "Nature Medicine", "Nature Biotechnology", "Nature Methods"],
     3: ["Nature", "Nature Communications", "Science", "Cell", "Proc Natl Acad Sci U S A", "PNAS"],
 }
+JOURNALS = [
+    "Microbiome", "Gut", "The ISME Journal", "Nature Microbiology", "Cell Host & Microbe", "Cell Systems", "mSystems",
+    "Environmental Microbiology", "Environmental Microbiology Reports", "Applied and Environmental Microbiology",
+    "BMC Microbiology", "BMC Bioinformatics", "Bioinformatics", "PLOS Computational Biology", "Nature Communications",
+    "Nature Medicine", "Nature Biotechnology", "Nature Methods", "Nature", "Science", "Cell", "Proc Natl Acad Sci U S A",
+]
+#: Names of one field, the first that holds a value counts.
+CHAINS = {
+    "pilot": {
+        "pmcid": ["pmcid", "PMCID", "pmcid_upper", "pmcid_lower"],
+        "title": ["title", "article_title", "full_title", "title_full"],
+        "journal": ["journal", "journal_title", "journalTitle", "journal_name", "source"],
+        "abstract": ["abstractText", "abstract", "abstract_text"],
+        "year": ["year", "pubYear", "publication_year", "pub_year"],
+    },
+    "full": {
+        "pmcid": ["pmcid", "PMCID", "id"],
+        "title": ["title", "article_title"],
+        "journal": ["journal", "journalTitle", "source"],
+        "abstract": ["abstract", "abstractText"],
+        "year": ["year", "pubYear", "publicationYear", "firstPublicationDate", "pubDate", "date"],
+    },
+}
 # End of the fixed values.
 
 KEYWORDS_2 = KEYWORDS_1 + KEYWORDS_2_MORE
 KEYWORD_SETS = {"v1": KEYWORDS_V1, "kw1": KEYWORDS_1, "kw2": KEYWORDS_2}
 PILOT_DEFAULT_TIER = 3
 UNKNOWN_TIER = "UNKNOWN"
-#: Journals of the corpus search: all of the pilot's tiers but its two other spellings.
-JOURNALS = [j for names in PILOT_TIERS.values() for j in names if j not in ("PLoS Computational Biology", "PNAS")]
 
 
 def minimal_terms(terms: list[str]) -> list[str]:

@@ -131,39 +131,38 @@ def _parts_v2(root: Element) -> Iterator[str]:
                     yield from section(child, "v2")
 
 
-def clean(source: str | None, variant: str) -> str | None:
+def clean(root: Element | None, variant: str) -> str | None:
     """Clean text; null if the document can't be parsed. Without any content: '' in v1, null in v2."""
-    root = parse(source) if source else None
     if root is None:
         return None
     found = "\n\n".join(filter(None, _parts_v1(root) if variant == "v1" else _parts_v2(root)))
     return found if found or variant == "v1" else None
 
 
-def journal(source: str | None) -> str | None:
-    root = parse(source) if source else None
+def journal(root: Element | None) -> str | None:
     return next(filter(None, (normalized(n.text(), "v1") for n in root.every("journal-title"))), None) if root else None
 
 
-def clean_xml(c: Column, variant: str = "v2") -> Column:
+def read_xml(c: Column, variant: str = "v2") -> Column:
+    """(clean_text, journal) of a document, parsed once: its clean text and the first journal title in it."""
     if variant not in ("v1", "v2"):
         raise ValueError(f"no such variant: {variant}")
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("clean_text string, journal string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            yield s.map(lambda x: clean(x, variant), na_action="ignore")
+            roots = [parse(x) if x else None for x in s]
+            yield pd.DataFrame({"clean_text": pd.Series([clean(r, variant) for r in roots], dtype=object), "journal": pd.Series([journal(r) for r in roots], dtype=object)})
 
     return run(c)
 
 
-def xml_journal(c: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(journal, na_action="ignore")
+def clean_xml(c: Column, variant: str = "v2") -> Column:
+    return read_xml(c, variant)["clean_text"]
 
-    return run(c)
+
+def xml_journal(c: Column) -> Column:
+    return read_xml(c, "v1")["journal"]
 
 
 def unescape(c: Column) -> Column:

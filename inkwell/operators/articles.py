@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.columns import base_id_v1, base_id_v2, clean_issn, col, first_truthy, mentions, output_path, tagged_key, truthy
 from inkwell.functions.vocab import KEYWORD_SETS
-from inkwell.schemas import ARTICLE, METADATA_V1, SEARCH_PAGE
+from inkwell.schemas import ARTICLE, METADATA_V1, RESULT, SEARCH_PAGE
 
 ARTICLE_COLUMNS = [part.split()[0] for part in ARTICLE.split(", ")]
 METADATA_COLUMNS = [part.split()[0] for part in METADATA_V1.split(", ")]
@@ -48,15 +48,15 @@ def lite_backfill(core: DataFrame, lite: DataFrame, *lite_order: Column | str) -
     return core.join(last, "id", "left").select(*[c for c in core.columns if c not in ("journalTitle", "pubType")], first_truthy("journalTitle", "__j").alias("journalTitle"), first_truthy("pubType", "__t").alias("pubType"), own_type)
 
 
-def to_articles(results: DataFrame, site: str = "https://europepmc.org/article") -> DataFrame:
-    """The fourteen columns of an article. Missing flags are false; the address is null without source or id."""
+def to_articles(results: DataFrame, site: str = "https://europepmc.org/article", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The fourteen columns of an article, and the columns ``keep``. Missing flags are false; the address is null without source or id."""
     own_type = "ownType" if "ownType" in results.columns else "pubType"
     yes = lambda c, v: F.coalesce(F.col(c) == v, F.lit(False))
     return results.select(
         "id", "source", "pmid", "pmcid", "doi", "title", F.col("abstractText").alias("abstract"), truthy("journalTitle").alias("journal"),
         F.col("pubYear").alias("pub_year"), F.col("authorString").alias("author_string"), yes("isOpenAccess", "Y").alias("is_open_access"),
         truthy("pubType").alias("pub_type"), (yes(own_type, "preprint") | yes("isPreprint", "Y")).alias("is_preprint"),
-        F.concat(F.lit(site + "/"), truthy("source"), F.lit("/"), truthy("id")).alias("europe_pmc_url"),
+        F.concat(F.lit(site + "/"), truthy("source"), F.lit("/"), truthy("id")).alias("europe_pmc_url"), *keep,
     )
 
 

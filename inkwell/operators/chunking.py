@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.functions.columns import SPACE, U, col, collapse, first_truthy, strip, words
+from inkwell.functions.columns import SPACE, U, col, collapse, strip, words
 
 STATE = "struct<done:array<string>,open:array<string>,held:int>"
 
@@ -45,13 +45,13 @@ def _fold(parts: Column, huge: int, step) -> Column:
     start = F.struct(empty.alias("done"), empty.alias("open"), F.lit(0).alias("held")).cast(STATE)
     closed = lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(F.array_join(s["open"], "\n\n")))).otherwise(s["done"])
 
-    def add(s: Column, p: Column) -> Column:
-        w = words(p)
-        n = F.size(w)
-        cut = F.struct(F.concat(closed(s), step.cut(w)).alias("done"), empty.alias("open"), F.lit(0).alias("held"))
+    def add(s: Column, part: Column) -> Column:
+        p, n = part["p"], part["n"]
+        cut = F.struct(F.concat(closed(s), step.cut(words(p))).alias("done"), empty.alias("open"), F.lit(0).alias("held"))
         return F.when(n > huge, cut).otherwise(step(s, p, n, closed)).cast(STATE)
 
-    return F.aggregate(parts, start, add, closed)
+    counted = F.transform(parts, lambda p: F.struct(p.alias("p"), F.size(words(p)).alias("n")))
+    return F.aggregate(counted, start, add, closed)
 
 
 class _Plain:
@@ -126,8 +126,3 @@ def pilot_chunks(docs: DataFrame, text: str, source_type: str, *, target: int =
     keep = ["pmcid", "year", "journal", "title", "journal_tier", "keyword_relevant"]
     return exploded(docs.where(strip(F.coalesce(F.col(text), F.lit(""))) != ""), chunks, keep).withColumn("source_type", F.lit(source_type))
 
-
-def title_and_journal(meta: DataFrame) -> DataFrame:
-    """The lean form's title and journal, by the full variant's alias chains where the columns exist."""
-    has = lambda names: [n for n in names if n in meta.columns]
-    return meta.withColumns({"title": first_truthy(*has(["title", "article_title"])), "journal": first_truthy(*has(["journal", "journalTitle", "source"]))})

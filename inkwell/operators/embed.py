@@ -9,9 +9,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
+from inkwell.runtime import written
+
 Provider = Callable[[list[str]], list[list[float]]]
 
 
@@ -40,6 +43,23 @@ def retried(provider: Provider, attempts: int = 6, most_wait: float = 60.0) -> P
     return embed
 
 
+def numbered(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Adds ``batch``: rows in order of ``key``, which is unique, in batches of ``size`` from 0.
+
+    Rows are sorted by range over all tasks; only the number of rows in each range is collected, so no task numbers all rows.
+    """
+    ranged = written(rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("__part", F.spark_partition_id()), "ranged")
+    counts = sorted((r[0], r[1]) for r in ranged.groupBy("__part").agg(F.count(F.lit(1))).collect())
+    before, total = [], 0
+    for part, number in counts:
+        before.append((part, total))
+        total += number
+    starts = rows.sparkSession.createDataFrame(before, "__part int, __before long")
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1
+    own = ranged.withColumn("__at", place).join(F.broadcast(starts), "__part")
+    return own.withColumn("batch", F.floor((F.col("__at") + F.col("__before")) / size)).drop("__part", "__at", "__before")
+
+
 def embed_chunks(chunks: DataFrame, make: Callable[[], Provider], model: str, *, text: str = "text", batch: int = 50) -> DataFrame:
     """All columns, with embedding and embedding_model. The provider sees line breaks as spaces; the stored
     text is unchanged. Null texts are sent as ''. ``make`` is called once a task; calls hold up to ``batch`` texts."""

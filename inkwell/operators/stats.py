@@ -79,6 +79,12 @@ def global_stats(by_year: DataFrame) -> DataFrame:
     return by_year.agg(*cols)
 
 
+def pilot_totals(chunks: DataFrame) -> DataFrame:
+    """One row: articles that gave chunks from a full text, from metadata only, and all chunks."""
+    of = lambda kind: F.count_distinct(F.when(F.col("source_type") == kind, F.col("pmcid")))
+    return chunks.agg(of("fulltext").alias("fulltext_articles"), of("metadata_only").alias("metadata_only_articles"), F.count(F.lit(1)).alias("chunks"))
+
+
 def run_counters(records: DataFrame, *, full_text: str = "has_full_text", keywords: Column | None = None, open_access: str = "is_open_access") -> DataFrame:
     """One row: processed, with full text, keyword matches, eligible, and how eligible ones ended."""
     kw = F.col("matches_keywords") if keywords is None else keywords

@@ -9,10 +9,15 @@ from inkwell.functions.columns import mentions, words
 from inkwell.functions.vocab import KEYWORDS_1
 from inkwell.operators import chunking, relevance
 from inkwell.plans import queries as q
-from inkwell.plans.oracles import SQL
+from inkwell.plans import roundtrips
+from inkwell.plans.oracles import SQL as OWN
+from inkwell.plans.oracles_roundtrips import MORE
 from inkwell.runtime import read
 
-QUERIES = {name: f for name, f in vars(q).items() if name.startswith(("q_", "p4_")) and name != "q_xml_clean"}
+QUERIES = {name: f for name, f in {**vars(q), **vars(roundtrips)}.items() if name.startswith(("q_", "p4_"))}
+
+
+SQL = OWN | MORE
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.functions.columns import first_truthy, labelled_payload, metadata_payload, norm_pmcid, strip, year_full
+from inkwell.functions.columns import first_truthy, labelled_payload, metadata_payload, norm_pmcid, scalar, strip, year_full, year_pilot
 from inkwell.functions.tokens import with_token_count
-from inkwell.functions.xmltext import clean_xml, xml_journal
+from inkwell.functions.xmltext import read_xml
+from inkwell.functions.vocab import CHAINS
 from inkwell.operators import articles, chunking, embed, relevance, stats
+from inkwell.runtime import written
 
 KEYWORDS_OF = {"v1": "v1", "v2": "kw1", "v2-issn": "kw2", "v2-backfill": "kw1"}
 
@@ -18,15 +20,17 @@ KEYWORDS_OF = {"v1": "v1", "v2": "kw1", "v2-issn": "kw2", "v2-backfill": "kw1"}
 def build_corpus(results: DataFrame, xml: DataFrame, *, variant: str = "v2", lite: DataFrame | None = None, lite_order: str | None = None, existing: DataFrame | None = None, order: str = "id", root: str = "corpus", issns: DataFrame | None = None) -> DataFrame:
     """Search results and landed XML (unique pmcid, xml) to metadata records with ``clean_text``.
 
-    v1 fills journals from ``lite`` and the XML; v2-issn keeps results whose ``issn`` is in ``issns``;
-    v2-backfill leaves out what ``existing`` holds. Text is cleaned only for open-access articles.
+    v1 fills journals from ``lite`` and the XML; v2-issn keeps results of the journals that ``issns``
+    (journal, issns) gives an ISSN; v2-backfill leaves out what ``existing`` holds. Text is cleaned only for
+    open-access articles. Results may repeat an id or lack it: each keeps its own row and text.
     """
     terms = KEYWORDS_OF[variant]
     own = articles.lite_backfill(results, lite, lite_order) if variant == "v1" and lite is not None else results
     if variant == "v2-issn":
         if issns is None:
             raise ValueError("v2-issn needs issns")
-        own = own.join(issns.select("issn").distinct(), "issn", "left_semi")
+        listed = articles.issns_of(issns).select(F.col("journal").alias("__listed")).distinct()
+        own = own.join(listed, F.col("journalTitle") == F.col("__listed"), "left_semi")
     if variant == "v2-backfill":
         if existing is None:
             raise ValueError("v2-backfill needs the existing corpus")
@@ -34,12 +38,12 @@ def build_corpus(results: DataFrame, xml: DataFrame, *, variant: str = "v2", lit
     gate = articles.open_access("isOpenAccess", "pmcid", "v1" if variant == "v1" else "v2")
     texts = xml.select("pmcid", F.col("xml").alias("__xml"))
     own = own.join(texts, "pmcid", "left").withColumn("__xml", F.when(gate, F.col("__xml")))
-    own = own.withColumn("clean_text", clean_xml(F.col("__xml"), "v1" if variant == "v1" else "v2"))
+    own = own.withColumn("__read", read_xml(F.col("__xml"), "v1" if variant == "v1" else "v2")).drop("__xml")
+    own = own.withColumns({"clean_text": F.col("__read.clean_text"), "__journal": F.col("__read.journal")}).drop("__read")
     if variant != "v1":
-        return articles.pass_through(own, F.col("clean_text"), root=root, terms=terms).drop("__xml")
-    own = own.withColumn("journalTitle", first_truthy("journalTitle", xml_journal(F.col("__xml"))))
-    keyed = articles.to_articles(own).join(own.select("id", "clean_text"), "id", "left")
-    return articles.to_metadata(keyed, F.col("clean_text"), root=root, terms=terms)
+        return articles.pass_through(own.drop("__journal"), F.col("clean_text"), root=root, terms=terms)
+    own = own.withColumn("journalTitle", first_truthy("journalTitle", "__journal"))
+    return articles.to_metadata(articles.to_articles(own, keep=("clean_text",)), F.col("clean_text"), root=root, terms=terms)
 
 
 def chunk_pilot(docs: DataFrame, meta: DataFrame, keyword_ids: DataFrame, *, year: int, target: int = 650, overlap: int = 150, mode: str = "paragraph") -> DataFrame:
@@ -59,11 +63,24 @@ def chunk_pilot(docs: DataFrame, meta: DataFrame, keyword_ids: DataFrame, *, yea
     return whole.unionByName(chunking.pilot_chunks(absent, "payload", "metadata_only", target=target, overlap=overlap, mode=mode))
 
 
-def chunk_full(docs: DataFrame, meta: DataFrame, *, target: int = 650, overlap: int = 120, dedupe_unknown: bool = False, payload: Column | None = None) -> DataFrame:
+def chunk_full(docs: DataFrame, meta: DataFrame, *, target: int = 650, overlap: int = 120, dedupe_unknown: bool = False, payload: Column | None = None, first_year: int | None = None, last_year: int | None = None, most_years: int | None = None, most_files: int | None = None, finished: DataFrame | None = None) -> DataFrame:
     """All years that have documents, then metadata without text, then metadata of unknown year.
 
     ``meta``: unique pmcid, year, title, journal, abstract, keywords. An article counts as present only if
-    it gave chunks in its year. Unknown years are not checked against full texts unless ``dedupe_unknown``."""
+    it gave chunks in its year. Unknown years are not checked against full texts unless ``dedupe_unknown``.
+
+    A run may be cut to the years from ``first_year`` to ``last_year``, the first ``most_years`` of these,
+    ``most_files`` documents a year in order of pmcid, and years that are not in ``finished`` (year)."""
+    if first_year is not None:
+        docs = docs.where(F.col("year") >= first_year)
+    if last_year is not None:
+        docs = docs.where(F.col("year") <= last_year)
+    if most_years is not None:
+        docs = articles.first_years(docs, "year", most_years)
+    if finished is not None:
+        docs = docs.join(finished.select("year"), "year", "left_anti")
+    if most_files is not None:
+        docs = articles.first_per_key(docs, "year", "pmcid", "text", number=most_files)
     pay = metadata_payload("title", "abstract", "keywords") if payload is None else payload
     whole = chunking.fulltext_chunks(docs, meta, target=target, overlap=overlap)
     present = docs.where(strip(F.coalesce("text", F.lit(""))) != "").select("year", "pmcid").distinct()
@@ -83,15 +100,23 @@ def metadata_index(records: DataFrame, *order: Column | str) -> DataFrame:
     return articles.last_per_key(keyed, "pmcid", *order)
 
 
-def metadata_years(records: DataFrame) -> DataFrame:
-    has = [c for c in ("year", "pubYear", "publicationYear", "firstPublicationDate", "pubDate", "date") if c in records.columns]
-    return records.withColumn("year", year_full(*has) if has else F.lit(None).cast("int"))
+def aliased(lines: DataFrame, variant: str, record: str = "record") -> DataFrame:
+    """Adds pmcid, title, journal, abstract and year of a variant ``record``, by the alias chains of ``variant``.
+
+    Of each chain, the first value that is not falsy counts; objects and lists are no values here. The year is
+    the first whole number (pilot) or the first run (19|20)dd (full) in the chain.
+    """
+    chains = CHAINS[variant]
+    v = F.col(record)
+    year = year_pilot if variant == "pilot" else year_full
+    own = {name: first_truthy(*[scalar(v, n) for n in names]) for name, names in chains.items() if name != "year"}
+    return lines.withColumns(own | {"pmcid": norm_pmcid(own["pmcid"]), "year": year(*[scalar(v, n) for n in chains["year"]])})
 
 
 def chunk_statistics(chunks: DataFrame, tokens_of: Callable[[DataFrame], DataFrame] | None = None, limit: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """Statistics by year and source type, and the global row, from one scan of the chunks."""
+    """Statistics by year and source type, and the global row. The chunks are evaluated once, to a written table of sums."""
     counted = tokens_of(chunks) if tokens_of else with_token_count(chunks, "text")
-    by_year = stats.chunk_stats(counted, ["year", "source_type"], limit=limit)
+    by_year = written( stats.chunk_stats(counted, ["year", "source_type"], limit=limit), "sums")
     return by_year, stats.global_stats(by_year)
 
 

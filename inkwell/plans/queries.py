@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from inkwell.functions import columns as c
 from inkwell.functions.tokens import with_token_count
 from inkwell.functions.vocab import KEYWORD_SETS
-from inkwell.functions.xmltext import clean_xml
 from inkwell.operators import articles, chunking, embed, relevance, schema_drift, stats
 from inkwell.plans import pipelines
 from inkwell.runtime import delete_at_end, read, shared_folder
@@ -262,21 +261,6 @@ def q_keywords_variant(spark: SparkSession, folder: str) -> DataFrame:
     return lines.select("line_id", c.keywords_text(F.to_json(both)).alias("keywords"))
 
 
-def q_xml_clean(spark: SparkSession, folder: str, variant: str) -> DataFrame:
-    """Articles written as XML from the documents' paragraphs, and their text read back."""
-    escaped = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    body = F.concat(F.lit("<article><front><article-title>Title of it</article-title></front><body><sec><title>Results</title><p>"), F.replace(escaped, F.lit("\n\n"), F.lit("</p><p>")), F.lit("</p></sec><sec><title>References</title><p>gone</p></sec></body></article>"))
-    return documents(spark, folder).select("doc_id", F.md5(clean_xml(body, variant).cast("binary")).alias("digest"))
-
-
-def q_xml_clean_v1(spark: SparkSession, folder: str) -> DataFrame:
-    return q_xml_clean(spark, folder, "v1")
-
-
-def q_xml_clean_v2(spark: SparkSession, folder: str) -> DataFrame:
-    return q_xml_clean(spark, folder, "v2")
-
-
 def q_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return with_token_count(documents(spark, folder).select("doc_id", "text"), "text").select("doc_id", "tokens", "tokenizer")
 

@@ -90,6 +90,9 @@ def test_build_corpus_variants(spark):
     assert v2["1"]["clean_text"] == "A < title\n\nOne\n\nbody p\n\nResults\n\nx y z\n\nli\n\nback"
     assert v2["3"]["clean_text"] is None and v2["4"]["txt_path"] is None and v2["1"]["txt_path"] == "corpus/unknown/PMC1.txt"
     v1 = {r["id"]: r for r in pipelines.build_corpus(found, xml, variant="v1").collect()}
+    assert len(pipelines.build_corpus(found.unionByName(found), xml, variant="v1").collect()) == 8
+    nameless = pipelines.build_corpus(found.withColumn("id", F.lit(None).cast("string")), xml, variant="v1").where("has_full_text").collect()
+    assert [r["pmcid"] for r in nameless] == ["PMC2", "PMC3"][: len(nameless)] and nameless[0]["clean_text"]
     assert not v1["1"]["has_full_text"] and v1["2"]["has_full_text"] and v1["2"]["text_path"] == "corpus/unknown/PMC2.txt"
     old = spark.createDataFrame([("PMC1", None, None)], "pmcid string, pmid string, id string")
     assert {r["id"] for r in pipelines.build_corpus(found, xml, variant="v2-backfill", existing=old).collect()} == {"2", "3", "4"}
@@ -151,6 +154,55 @@ def test_search_pages_and_full_text():
     assert rest.with_years("q", 2019) == "(q) AND PUB_YEAR:2019"
 
 
+def test_retry_rules():
+    answers = [(404, ""), (500, ""), (200, "ok")]
+    ask = lambda url, timeout: answers.pop(0)
+    assert rest.fetch("http://x", ask, wait=0, retry_all=True) == "ok"
+    with pytest.raises(TimeoutError):
+        rest.fetch("http://x", lambda *_: (503, ""), wait=0)
+
+
+def test_connection_is_kept_and_opened_again():
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+        ports = []
+
+        def do_GET(self):
+            self.ports.append(self.client_address[1])
+            self.send_response(404 if "none" in self.path else 200)
+            self.send_header("Content-Length", "2")
+            self.end_headers()
+            self.wfile.write(b"ok")
+            self.close_connection = "close" in self.path
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    ask, at = rest.PooledTransport(), f"http://127.0.0.1:{server.server_port}"
+    assert [ask(f"{at}/{p}", 5) for p in ("a?x=1", "none", "close", "b")] == [(200, "ok"), (404, "ok"), (200, "ok"), (200, "ok")]
+    assert len(set(Handler.ports[:3])) == 1 and Handler.ports[3] != Handler.ports[0]
+    server.shutdown()
+
+
+def test_full_texts(spark):
+    from inkwell.sources.local_index import numbered_texts
+
+    own = spark.createDataFrame([("PMC3",), ("PMC3",), ("PMC2",), ("PMC1",), ("PMC0",), (None,), ("",)], "pmcid string")
+    assert [r["pmcid"] for r in rest.full_texts(own, "http://x/{pmcid}", variant="v1", transport=numbered_texts, wait=0).collect()] == ["PMC3"]
+    assert sorted(r["pmcid"] for r in rest.full_texts(own, "http://x/{pmcid}", transport=numbered_texts, wait=0).collect()) == ["PMC2", "PMC3"]
+
+
+def test_batch_numbers(spark):
+    df = spark.createDataFrame([(f"k{i:03d}",) for i in range(120)], "k string")
+    got = {r["k"]: r["batch"] for r in embed.numbered(df, "k", 50).collect()}
+    assert got == {f"k{i:03d}": i // 50 for i in range(120)} and embed.numbered(df.limit(0), "k", 50).count() == 0
+
+
 def test_search_source(spark):
     class Offline(rest.SearchSource):
         transport = staticmethod(lambda url, timeout: (200, json.dumps({"resultList": {"result": [{"id": "1"}]}, "hitCount": 1, "nextCursorMark": "x"})))
