@@ -5,8 +5,8 @@ JSON types its non-null values have. Between the trees of a file and the file be
 distance is taken in which a field may be kept, retyped (1), renamed to a name of the same meaning
 (1), moved below another parent (1), or removed or added with all below it (1 for each field). Names of
 different meaning are never matched, so the distance falls apart by meaning: at each level, fields of
-one meaning are assigned to each other at least cost, and their subtrees recursively. The script of
-least cost is the list of changes. The scripts of a feed, from the targets to its first file and on from
+one meaning are assigned to each other at least cost, and their subtrees recursively; moves are taken on
+top. This script is the list of changes. The scripts of a feed, from the targets to its first file and on from
 file to file, are also compiled into one projection per file, which leads each target column to the
 paths that the file has for it: renamed, moved below other fields, or both in turn. The projections are
 applied to every line; an object is led to its main part and a list to one text (see ``led``).
@@ -22,7 +22,6 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import permutations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -40,8 +39,6 @@ FAMILIES = (
 )
 FAMILY = {name: f"family {i}" for i, names in enumerate(FAMILIES) for name in names}
 TYPES = {str: 1, int: 2, float: 2, bool: 4, list: 8, dict: 16}
-#: Up to this many fields of one meaning on a level, all assignments are compared; beyond, they pair in order of name.
-COMPARED = 6
 TARGETS = {
     "id": "string", "source": "string", "pmid": "string", "pmcid": "string", "doi": "string", "title": "string",
     "abstract": "string", "journal": "string", "pub_year": "string", "author_string": "string", "is_open_access": "boolean",
@@ -96,6 +93,39 @@ def retyped(a: Node, b: Node) -> bool:
     return bool(a.types and b.types and a.types != b.types)
 
 
+def assigned(cost: list[list[int]]) -> list[tuple[int, int]]:
+    """Each row a column of its own, or each column a row, at least total cost: rows join one by one along a cheapest path of exchanges."""
+    if not cost or not cost[0]:
+        return []
+    if len(cost) > len(cost[0]):
+        return sorted((i, j) for j, i in assigned([list(c) for c in zip(*cost)]))
+    wide = len(cost[0])
+    give, take = [0] * len(cost), [0] * wide  # potentials: no cost less give and take is negative
+    holder: list[int | None] = [None] * wide
+    for row in range(len(cost)):
+        best, via, seen = [float("inf")] * wide, [-1] * wide, set()
+        at, i = -1, row
+        while True:
+            for j in range(wide):
+                if j not in seen and (c := cost[i][j] - give[i] - take[j]) < best[j]:
+                    best[j], via[j] = c, at
+            at = min((j for j in range(wide) if j not in seen), key=lambda j: best[j])
+            step = best[at]
+            give[row] += step
+            for j in seen:
+                give[holder[j]] += step
+                take[j] -= step
+            best = [x if j in seen else x - step for j, x in enumerate(best)]
+            seen.add(at)
+            if holder[at] is None:
+                break
+            i = holder[at]
+        while at >= 0:
+            holder[at] = row if via[at] < 0 else holder[via[at]]
+            at = via[at]
+    return sorted((i, j) for j, i in enumerate(holder) if i is not None)
+
+
 def script(a: Node, b: Node, before: tuple[str, ...] = (), after: tuple[str, ...] = ()) -> tuple[int, list[Change]]:
     """Cost and changes that lead from the fields below ``a`` to those below ``b``."""
     cost, changes = 0, []
@@ -119,14 +149,12 @@ def script(a: Node, b: Node, before: tuple[str, ...] = (), after: tuple[str, ...
             new.setdefault(meaning(name), []).append(name)
     for sense in sorted({*gone, *new}):
         xs, ys = gone.get(sense, []), new.get(sense, [])
-        few = min(len(xs), len(ys))
-        if max(len(xs), len(ys)) <= COMPARED and few:
-            options = ([*zip(xs, p)] for p in permutations(ys, few)) if len(xs) <= len(ys) else ([*zip(p, ys)] for p in permutations(xs, few))
-            chosen = min(options, key=lambda o: sum(pair(x, y)[0] for x, y in o) + sum(a.below[x].size() for x in {*xs} - {x for x, _ in o}) + sum(b.below[y].size() for y in {*ys} - {y for _, y in o}))
-        else:
-            chosen = [*zip(xs, ys)]
+        paired = {(x, y): pair(x, y) for x in xs for y in ys}
+        # what a pair costs beyond removing the one and adding the other
+        extra = [[paired[x, y][0] - a.below[x].size() - b.below[y].size() for y in ys] for x in xs]
+        chosen = [(xs[i], ys[j]) for i, j in assigned(extra)]
         for x, y in chosen:
-            own, more = pair(x, y)
+            own, more = paired[x, y]
             cost, changes = cost + own, changes + more
         for x in sorted({*xs} - {x for x, _ in chosen}):
             cost, changes = cost + a.below[x].size(), [*changes, Change("removed", (*before, x), ())]
@@ -155,7 +183,8 @@ def nested(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
 def with_moves(cost: int, changes: list[Change], a: Node, b: Node) -> tuple[int, list[Change]]:
     """A field removed here and added with the same name and types below another parent is moved.
 
-    Either may be below a field that is removed or added as a whole.
+    Either may be below a field that is removed or added as a whole. With moves, no least script is known to
+    be found in reasonable time; they are taken on top of the least script without moves, shallow fields first.
     """
     removed = {p: c for c in changes if c.kind == "removed" for p in (c.before, *paths(at(a, c.before), c.before))}
     added = [(q, c) for c in changes if c.kind == "added" for q in (c.after, *paths(at(b, c.after), c.after))]

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from inkwell.functions.vocab import CHAINS, JOURNALS, KEYWORD_SETS
-from inkwell.plans.oracles import BASE_V1, BASE_V2, HAY, INDEX, KW, NORM_V1, NORM_V2, OA, OBJECTS, PARAS_PILOT, PILOT_TIER, PLAIN_PAYLOAD, TAGGED, fold, has_any, norm_pmcid, paras_full, strip, text, truthy, words, year_full, year_pilot
+from inkwell.operators.schema_drift import JOINED, TARGETS
+from inkwell.operators.schema_drift import meaning as meaning_of
+from inkwell.plans.oracles import BASE_V1, BASE_V2, HAY, INDEX, KW, MEANING, NORM_V1, NORM_V2, OA, OBJECTS, PARAS_PILOT, PILOT_TIER, PLAIN_PAYLOAD, TAGGED, fold, has_any, norm_pmcid, paras_full, strip, text, truthy, words, year_full, year_pilot
 
 YEARS = "regexp_full_match(pub_year, '[0-9]{4}') AND pub_year BETWEEN '1990' AND '2025'"
 BASE = 'PUB_TYPE:"Journal Article" AND IN_EPMC:Y AND NOT PREPRINT:Y'
@@ -106,3 +108,37 @@ UNION ALL SELECT 'issns', '{BASE} AND (' || string_agg('ISSN:"' || i || '"', ' O
     "q_embedding_batches": "SELECT CAST(floor((rn - 1) / 50) AS BIGINT) AS batch, count(*) AS chunks, min(chunk_id) AS first FROM (SELECT chunk_id, row_number() OVER (ORDER BY chunk_id) AS rn FROM (SELECT DISTINCT chunk_id FROM embedded_chunk WHERE chunk_id IS NOT NULL)) GROUP BY 1",
     "q_tier_places": "SELECT tier, journal, total, CAST(list_position(['tier1', 'tier2', 'tier3', 'UNKNOWN'], tier) AS INTEGER) AS place FROM (SELECT coalesce(d.tier, 'UNKNOWN') AS tier, m.journal, count(*) AS total FROM metadata_all m LEFT JOIN journal_dim d ON d.journal = m.journal GROUP BY ALL)",
 }
+
+
+def leaf(j: str, target: str) -> str:
+    number = f"WHEN json_type({j}) IN ('UBIGINT', 'BIGINT') THEN 'PMC' || CAST({j} AS VARCHAR) " if target == "pmcid" else ""
+    return f"(CASE WHEN {j} IS NULL OR json_type({j}) = 'NULL' THEN NULL WHEN json_type({j}) = 'VARCHAR' THEN {j}->>'$' {number}ELSE CAST({j} AS VARCHAR) END)"
+
+
+def led(target: str) -> str:
+    """The text that a JSON value ``v`` gives a target: the main part of an object, one text of a list."""
+    meaning = MEANING.replace("WHEN k ", "WHEN n ").replace("lower(replace(k,", "lower(replace(n,")
+    own = f"list_filter(json_keys(x), lambda n: {meaning} = {text(meaning_of(target))})[1]"
+    main = "list_filter(['value', 'text', 'title', 'y'], lambda n: list_contains(json_keys(x), n))[1]"
+    part = f"json_extract(x, '$.\"' || coalesce({own}, {main}) || '\"')"
+    one = f"(CASE WHEN json_type(x) = 'OBJECT' AND coalesce({own}, {main}) IS NOT NULL THEN {leaf(part, target)} ELSE {leaf('x', target)} END)"
+    items = f"list_filter(list_transform(CAST(v AS JSON[]), lambda x: {one}), lambda t: t <> '')"
+    if target in JOINED:
+        sep = JOINED[target]
+        many = f"array_to_string(list_transform({items}, lambda t, i: CASE WHEN i = len({items}) THEN t WHEN ends_with(t, {text(sep.strip())}) THEN t || {text(sep[-1])} ELSE t || {text(sep)} END), '')"
+    else:
+        many = f"list_transform(list_filter(CAST(v AS JSON[]), lambda x: json_type(x) <> 'NULL'), lambda x: {one})[1]"
+    return f"CASE WHEN json_type(v) = 'ARRAY' THEN nullif({many}, '') ELSE list_transform([v], lambda x: {one})[1] END"
+
+
+def flagged(x: str) -> str:
+    return f"(CASE WHEN lower(trim({x})) IN ('true', 'y', 'yes', '1') THEN true WHEN lower(trim({x})) IN ('false', 'n', 'no', '0') THEN false END)"
+
+
+MORE["p4_targets"] = (
+    f"WITH {OBJECTS}, keyed AS (SELECT line_id, o, unnest(json_keys(o)) AS k FROM objects), meant AS (SELECT line_id, k, json_extract(o, '$.\"' || k || '\"') AS v, {MEANING} AS m FROM keyed), "
+    "given AS (" + " UNION ALL ".join(f"SELECT line_id, {text(t)} AS target, k, {led(t)} AS given FROM meant WHERE m = {text(meaning_of(t))}" for t in TARGETS) + "), "
+    "taken AS (SELECT line_id, target, first(given ORDER BY k <> target, k) AS given FROM given WHERE given IS NOT NULL GROUP BY line_id, target) "
+    "SELECT r.line_id, r.feed, r.file_seq, " + ", ".join((flagged(f"max(given) FILTER (target = {text(t)})") if kind == "boolean" else f"max(given) FILTER (target = {text(t)})") + f" AS {t}" for t, kind in TARGETS.items())
+    + " FROM objects JOIN metadata_raw r USING (line_id) LEFT JOIN taken USING (line_id) GROUP BY 1, 2, 3"
+)

@@ -294,3 +294,8 @@ def p4_unified(spark: SparkSession, folder: str) -> DataFrame:
     lines = read(spark, folder, "metadata_raw")
     compiled = schema_drift.projections(schema_drift.schemas(lines, "feed", "file_seq", "raw"))
     return schema_drift.unified(lines, compiled, keep=["line_id", "feed", "file_seq", "landed_at"])
+
+
+def p4_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """The unified table without the time and what is left over."""
+    return p4_unified(spark, folder).drop("rest", "landed_at")

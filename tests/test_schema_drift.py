@@ -1,6 +1,8 @@
 """Edit scripts against definitions, and drifting files end to end."""
 
+import itertools
 import json
+import random
 
 from inkwell.operators import schema_drift as s
 
@@ -80,3 +82,23 @@ def test_moves_into_new_fields():
     assert kinds(node(doi=1), node(n=node(doi=1, x=1))) == [("added", "", "n"), ("moved", "doi", "n.doi")]
     assert s.script(node(doi=1), node(n=node(doi=1, x=1)))[0] == 3
     assert kinds(node(m=node(doi=1)), node(n=node(doi=1))) == [("added", "", "n"), ("moved", "m.doi", "n.doi"), ("removed", "m", "")]
+
+
+def test_assignment_is_the_cheapest():
+    rng = random.Random(3)
+    for _ in range(400):
+        n, m = rng.randint(1, 5), rng.randint(1, 5)
+        cost = [[rng.randint(-9, 9) for _ in range(m)] for _ in range(n)]
+        got = s.assigned(cost)
+        rows = [[*zip(range(n), p)] for p in itertools.permutations(range(m), n)] if n <= m else [[*zip(p, range(m))] for p in itertools.permutations(range(n), m)]
+        assert sum(cost[i][j] for i, j in got) == min(sum(cost[i][j] for i, j in o) for o in rows) and len(got) == min(n, m)
+    many = {f"a_{'_' * k}b": 1 if k % 2 else 2 for k in range(12)}
+    after = {f"A_{'_' * k}b": 2 if k % 2 else 1 for k in range(12)}
+    assert s.script(node(**many), node(**after))[0] == 12  # twelve names of one meaning: all renamed, none retyped
+
+
+def test_duplicate_keys_and_json_in_a_string(spark):
+    lines = ['{"pmcid":"A","pmcid":"B"}', '{"note":"{\\"pmcid\\":\\"Z\\"}"}']
+    df = spark.createDataFrame([(i, "f", 1, x) for i, x in enumerate(lines)], "line_id long, feed string, file_seq int, raw string")
+    table = s.unified(df, s.projections(s.schemas(df, "feed", "file_seq", "raw")), keep=["line_id"])
+    assert [(r["pmcid"], r["rest"]) for r in table.orderBy("line_id").collect()] == [("B", {}), (None, {"note": '{"pmcid":"Z"}'})]
