@@ -40,6 +40,8 @@ STEPS = 32767
 #: Candidates a query ascends for, over up to WANTED_AT vectors; beyond, it grows as their square root.
 WANTED, WANTED_AT = 1600, 250_000
 SEED = 977
+#: Vectors in a part of a tree.
+PART = 64_000
 
 
 @lru_cache(8)
@@ -195,7 +197,7 @@ def most_similar(df: DataFrame, key: str, embedding: str, *, k: int = 5, dim: in
     drawn = entries.where(F.pmod(F.xxhash64("h1", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000)).select("v").limit(SAMPLE)
     drawn = np.array([r[0] for r in drawn.toLocalIterator()], np.float32).reshape(-1, dim)
     sample = np.sort(hash_strings(normalized(drawn), trees), axis=0) if len(drawn) else np.zeros((0, trees), np.int64)
-    parts = partitions or max(trees, int(spark.conf.get("spark.sql.shuffle.partitions")), total * trees // 200_000)
+    parts = partitions or max(trees, int(spark.conf.get("spark.sql.shuffle.partitions")), total * trees // PART)
     each = max(1, round(parts / trees))
     splits = sample[np.linspace(0, len(sample), each + 1).astype(int)[1:-1]] if len(sample) else sample
     scale = total / max(1, len(sample))
@@ -230,9 +232,16 @@ def most_similar(df: DataFrame, key: str, embedding: str, *, k: int = 5, dim: in
             cols[3].append(np.frombuffer(q.buffers()[2], np.int16, (at[-1] - at[0]) // 2, at[0]).reshape(len(q), dim))
         if not cols[0]:
             return
-        code, h1, level, q, home = (np.concatenate(c) for c in cols)
+        code, h1, level, home = (np.concatenate(c) for c in (*cols[:3], cols[4]))
         order = np.argsort(code, kind="stable")
-        code, h1, level, unit, home = code[order], h1[order], level[order].astype(np.int64), q[order].astype(np.float32), np.flatnonzero(home[order])
+        code, h1, level, home = code[order], h1[order], level[order].astype(np.int64), np.flatnonzero(home[order])
+        unit = np.empty((len(code), dim), np.float32)
+        place = np.empty(len(code), np.int64)
+        place[order] = np.arange(len(code))
+        for q in cols[3]:  # one batch after another, so that the vectors are held once
+            unit[place[: len(q)]] = q
+            place = place[len(q) :]
+        cols[3].clear()
         lengths = np.linalg.norm(unit, axis=1, keepdims=True)
         unit /= lengths
         margin = 2 * rounding(dim, float(lengths.min()))
@@ -249,7 +258,8 @@ def most_similar(df: DataFrame, key: str, embedding: str, *, k: int = 5, dim: in
             return pa.record_batch([pa.array(h1[r[ok]]), pa.array(h1[c[ok]]), pa.array(v[ok].astype(np.float32))], names=["qa", "qb", "score"])
 
         size = 0
-        for part in scored(code[home], unit[home], code, level, unit, keep, floor, margin):
+        whole = len(home) == len(code)
+        for part in scored(code if whole else code[home], unit if whole else unit[home], code, level, unit, keep, floor, margin):
             held.append(part)
             size += len(part[0])
             if size > 1 << 20:
