@@ -9,7 +9,7 @@ it must ascend is read off a bounded sample of the vectors (``SAMPLE`` rows, whi
 points); every vector is indexed and every vector is a query. In the arrays, the queries that stop
 at one node are scored against the node's interval in one matrix product.
 
-Trees carry vectors as 16-bit numbers. They keep every candidate whose score comes within the error of
+Trees carry vectors as 12-bit numbers. They keep every candidate whose score comes within the error of
 that rounding of the k-th best, or of being returned, however many these are; the pairs are then scored
 again on the vectors as they are.
 
@@ -36,7 +36,7 @@ from inkwell.runtime import written
 SYMBOLS, SYMBOL_BITS, AXES = 15, 4, 8
 SAMPLE = 16384
 NODE = 4096
-STEPS = 32767
+STEPS = 2047
 #: Candidates a query ascends for, over up to WANTED_AT vectors; beyond, it grows as their square root.
 WANTED, WANTED_AT = 1600, 250_000
 SEED = 977
@@ -89,8 +89,22 @@ def levels(codes: np.ndarray, sample: np.ndarray, scale: float, wanted: int) ->
     return level
 
 
+def packed_width(dim: int) -> int:
+    return 3 * (-(-dim // 2))
+
+
 def quantized(unit: np.ndarray) -> np.ndarray:
-    return np.rint(unit / np.abs(unit).max(1, keepdims=True) * STEPS).astype(np.int16)
+    """Vectors as whole numbers from -STEPS to STEPS, two in three bytes."""
+    whole = (np.rint(unit / np.abs(unit).max(1, keepdims=True) * STEPS) + STEPS).astype(np.uint16)
+    if whole.shape[1] % 2:
+        whole = np.append(whole, np.full((len(whole), 1), STEPS, np.uint16), 1)
+    a, b = whole[:, ::2], whole[:, 1::2]
+    return np.stack([a >> 4, (a & 15) << 4 | b >> 8, b & 255], 2).astype(np.uint8).reshape(len(whole), packed_width(unit.shape[1]))
+
+
+def unquantized(packed: np.ndarray, dim: int) -> np.ndarray:
+    x, y, z = (packed[:, k::3].astype(np.int16) for k in range(3))
+    return np.stack([x << 4 | y >> 4, (y & 15) << 8 | z], 2).reshape(len(packed), -1)[:, :dim].astype(np.float32) - STEPS
 
 
 def rounding(dim: int, length: float = STEPS) -> float:
@@ -212,7 +226,7 @@ def most_similar(df: DataFrame, key: str, embedding: str, *, k: int = 5, dim: in
             unit, h1 = normalized(matrix(batch.column(1), dim)), batch.column(0).to_numpy()
             codes = hash_strings(unit, trees)
             level = levels(codes, sample, scale, wanted).astype(np.int8)
-            small = pa.Array.from_buffers(pa.binary(2 * dim), len(unit), [None, pa.py_buffer(quantized(unit).tobytes())])
+            small = pa.Array.from_buffers(pa.binary(packed_width(dim)), len(unit), [None, pa.py_buffer(quantized(unit).tobytes())])
             for t in range(trees):
                 home, first, last = nodes_of(codes[:, t], level.astype(np.int64), splits[:, t], h1)
                 at = np.repeat(np.arange(len(unit)), last - first + 1)
@@ -229,7 +243,7 @@ def most_similar(df: DataFrame, key: str, embedding: str, *, k: int = 5, dim: in
             cols[4].append(batch.column("home").to_numpy(zero_copy_only=False))
             q = batch.column("q")
             at = np.frombuffer(q.buffers()[1], np.int32)[q.offset : q.offset + len(q) + 1]
-            cols[3].append(np.frombuffer(q.buffers()[2], np.int16, (at[-1] - at[0]) // 2, at[0]).reshape(len(q), dim))
+            cols[3].append(np.frombuffer(q.buffers()[2], np.uint8, at[-1] - at[0], at[0]).reshape(len(q), packed_width(dim)))
         if not cols[0]:
             return
         code, h1, level, home = (np.concatenate(c) for c in (*cols[:3], cols[4]))
@@ -239,7 +253,7 @@ def most_similar(df: DataFrame, key: str, embedding: str, *, k: int = 5, dim: in
         place = np.empty(len(code), np.int64)
         place[order] = np.arange(len(code))
         for q in cols[3]:  # one batch after another, so that the vectors are held once
-            unit[place[: len(q)]] = q
+            unit[place[: len(q)]] = unquantized(q, dim)
             place = place[len(q) :]
         cols[3].clear()
         lengths = np.linalg.norm(unit, axis=1, keepdims=True)

@@ -342,6 +342,16 @@ def test_splits_lose_nothing(spark):
     assert home.tolist() == [0, 1, 2, 0, 3] and first.tolist() == [0, 0, 0, 0, 3] and last.tolist() == [0, 2, 2, 2, 3]
 
 
+def test_packed_vectors_are_within_the_rounding():
+    rng = np.random.default_rng(2)
+    for dim in (3, 64):
+        unit = hash_forest.normalized(rng.standard_normal((500, dim)))
+        back = hash_forest.unquantized(hash_forest.quantized(unit), dim)
+        assert np.abs(back - unit / np.abs(unit).max(1, keepdims=True) * hash_forest.STEPS).max() <= 0.501
+        back /= np.linalg.norm(back, axis=1, keepdims=True)
+        assert np.abs(back @ back.T - unit @ unit.T).max() <= hash_forest.rounding(dim)
+
+
 def test_neighbours_in_tight_families(spark):
     """300 vectors with cosines of 0.9998 and more: rounding in the trees must not decide who is nearest."""
     rng = np.random.default_rng(8)
