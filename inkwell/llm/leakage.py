@@ -10,8 +10,9 @@ themselves, with a banded edit distance of at most ``edits``. Document windows h
 more or fewer than the item's, so that an added or missing word costs one edit and not two; the
 windows of all these sizes that start at one word share its walk and differ only in where it ends.
 
-Equal windows have equal walks, so with ``edits = 0`` one sample already has recall 1. Otherwise
-the number of samples follows from the target recall (``samples_for``).
+Equal windows have equal walks, so for them recall is 1. Otherwise the number of samples follows from the
+target recall (``samples_for``). Only windows that can be within the edits are walked: of an item's window
+in ``edits + 1`` parts, one is left whole, at most ``edits`` words from its place; this loses nothing.
 
 Items come as a bounded table: their number of words is checked before they are sent to the
 executors. The corpus is read once, by columns, and nothing of it is shuffled but the leaks found.
@@ -19,6 +20,7 @@ executors. The corpus is read once, by columns, and nothing of it is shuffled bu
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.words import M1, M2, mix, word_hashes
+from inkwell.llm.words import M1, M2, hashed, mix, run_hashes, word_hashes
 from inkwell.runtime import bounded_rows
 
 STRETCH = 3
@@ -121,14 +123,35 @@ def within(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
     return row[:, edits + wide - high] <= edits
 
 
+class Members:
+    """A set of hashes: a table of bits first, then the sorted hashes."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.unique(hashes)
+        self.seen = np.zeros(1 << BITS, bool)
+        self.seen[self.hashes >> np.uint64(64 - BITS)] = True
+
+    def held(self, hashes: np.ndarray) -> np.ndarray:
+        """Positions of ``hashes`` that are in the set."""
+        k = np.flatnonzero(self.seen[hashes >> np.uint64(64 - BITS)])
+        at = np.minimum(np.searchsorted(self.hashes, hashes[k]), len(self.hashes) - 1)
+        return k[self.hashes[at] == hashes[k]]
+
+
+def part_bounds(length: int, edits: int) -> list[tuple[int, int]]:
+    """A window in edits + 1 parts, the first word of each and the first behind it."""
+    cuts = np.linspace(0, length, edits + 2).astype(int).tolist()
+    return [*zip(cuts[:-1], cuts[1:])]
+
+
 class ItemIndex:
-    """The items' windows by length: sorted keys of each sample, with item and words."""
+    """The items' windows by length: sorted keys of each sample, with item and words, and the parts of windows."""
 
     def __init__(self, items: list[tuple[int, str]], window: int, edits: int, recall: float):
-        hashed = [(item, word_hashes(text)) for item, text in items if item is not None]
+        words = [(item, word_hashes(text)) for item, text in items if item is not None]
         self.edits, self.tables = edits, []
-        for length in sorted({min(window, len(h)) for _, h in hashed} - {0}):
-            own = [(i, h) for i, h in hashed if min(window, len(h)) == length]
+        for length in sorted({min(window, len(h)) for _, h in words} - {0}):
+            own = [(i, h) for i, h in words if min(window, len(h)) == length]
             flat = np.concatenate([h for _, h in own])
             starts = np.concatenate([[0], np.cumsum([len(h) for _, h in own])])
             first = windows(starts, length)
@@ -141,14 +164,29 @@ class ItemIndex:
                 seen = np.zeros(1 << BITS, bool)
                 seen[keys >> np.uint64(64 - BITS)] = True
                 samples.append((places, keys[order], order, seen))
-            self.tables.append((length, ids, content, samples))
-
-    def find(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (row, item) of which a window of the row and one of the item agree."""
-        rows, items = [], []
-        for length, ids, content, samples in self.tables:
+            parts = [(a, b - a, Members(run_hashes(flat, b - a)[first + a])) for a, b in part_bounds(length, edits) if b > a] if length > edits else []
+            self.tables.append((length, ids, content, samples, parts))
+
+    def near(self, flat: np.ndarray, first: np.ndarray, parts: list, runs: dict[int, np.ndarray]) -> np.ndarray:
+        """Of windows that begin at ``first``, those with a part of an item's window near its place."""
+        if not parts:
+            return first
+        begins = np.zeros(len(flat) + 1, bool)
+        for offset, size, members in parts:
+            if size not in runs:
+                runs[size] = run_hashes(flat, size)
+            hits = members.held(runs[size])
+            for shift in range(-self.edits, self.edits + 1):
+                at = hits - offset - shift
+                begins[at[(at >= 0) & (at < len(flat))]] = True
+        return first[begins[first]]
+
+    def find(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (row, item, exact) of which a window of the row and one of the item agree, or are equal."""
+        found, runs = [np.empty((0, 3), np.int64)], {}
+        for length, ids, content, samples, parts in self.tables:
             sizes = [*range(max(1, length - self.edits), length + self.edits + 1)]
-            first = windows(starts, sizes[0])
+            first = self.near(flat, windows(starts, sizes[0]), parts, runs)
             room = starts[np.searchsorted(starts, first, "right")] - first if self.edits else np.full(len(first), length)
             for s, (places, keys, order, seen) in enumerate(samples):
                 for size, own in zip(sizes, embed(flat, first, length, s, places, sizes)):
@@ -160,17 +198,15 @@ class ItemIndex:
                     for own_k, own_low, own_number in zip(*(np.split(x, np.flatnonzero(np.diff(before // AT_ONCE)) + 1) for x in (k, low, number))):
                         shift = np.arange(own_number.sum()) - np.repeat(np.cumsum(own_number) - own_number, own_number)
                         at, hit = np.repeat(first[own_k], own_number), order[np.repeat(own_low, own_number) + shift]
-                        ok = within(flat[at[:, None] + np.arange(size)], content[hit], self.edits)
-                        pairs = np.unique(np.stack([np.searchsorted(starts, at[ok], "right") - 1, ids[hit[ok]]], 1), axis=0)
-                        rows.append(pairs[:, 0])
-                        items.append(pairs[:, 1])
-        found = np.stack([np.concatenate(rows), np.concatenate(items)], 1) if rows else np.empty((0, 2), np.int64)
-        found = np.unique(found, axis=0)
-        return found[:, 0], found[:, 1]
+                        own, theirs = flat[at[:, None] + np.arange(size)], content[hit]
+                        ok = within(own, theirs, self.edits)
+                        exact = (own[ok] == theirs[ok]).all(1) if size == length else np.zeros(int(ok.sum()), bool)
+                        found.append(np.unique(np.stack([np.searchsorted(starts, at[ok], "right") - 1, ids[hit[ok]], exact], 1), axis=0))
+        return tuple(np.unique(np.concatenate(found), axis=0).T)
 
 
 def leaks(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 12, edits: int = 0, recall: float = 0.95) -> DataFrame:
-    """(doc, item), one row each: the document holds a window of the item, up to ``edits`` word edits.
+    """(doc, item, exact), one row each: the document holds a window of the item, up to ``edits`` word edits; exact: none.
 
     Null and empty texts hold nothing and leak nothing; repeated rows of one document or item give
     one row. Whole texts are read. Other columns are not touched.
@@ -183,19 +219,19 @@ def leaks(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id", text:
         for batch in batches:
             keys = batch.column(0).to_pylist()
             own, parts, size = [], [], 0
-            for k, value in zip([*keys, None], [*batch.column(1), None]):
-                if value is not None:
-                    if k is not None and value.is_valid:
+            for k, words in zip([*keys, None], itertools.chain(hashed(v.as_py() for v in batch.column(1)), [None])):
+                if words is not None:
+                    if k is not None and len(words):
                         own.append(k)
-                        parts.append(word_hashes(value.as_py()))
-                        size += len(parts[-1])
+                        parts.append(words)
+                        size += len(words)
                     if size < WORDS_AT_ONCE:
                         continue
                 if parts:
                     starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-                    row, hit = index.find(np.concatenate(parts), starts)
-                    yield pa.record_batch([pa.array(np.array(own, np.int64)[row]), pa.array(hit)], names=["doc", "item"])
+                    row, hit, exact = index.find(np.concatenate(parts), starts)
+                    yield pa.record_batch([pa.array(np.array(own, np.int64)[row]), pa.array(hit), pa.array(exact > 0)], names=["doc", "item", "exact"])
                 own, parts, size = [], [], 0
 
-    found = documents.select(documents[doc].cast("long"), documents[text].cast("string")).mapInArrow(run, "doc long, item long").distinct()
-    return found.select(F.col("doc").alias(doc), F.col("item").alias(item))
+    found = documents.select(documents[doc].cast("long"), documents[text].cast("string")).mapInArrow(run, "doc long, item long, exact boolean")
+    return found.groupBy("doc", "item").agg(F.max("exact").alias("exact")).select(F.col("doc").alias(doc), F.col("item").alias(item), "exact")

@@ -196,7 +196,11 @@ def test_leaks(spark, texts):
     long = [t for t in texts if t and len(t.split()) > 30]
     items = [(1, long[0]), (2, " ".join(long[1].split()[:7])), (3, None), (4, ""), (5, long[2]), (5, long[2])]
     docs = [(i, t) for i, t in enumerate([*texts, "x " + " ".join(long[2].split()[3:15]) + " y", " ".join(long[2].split()[3:14])])]
-    got = {tuple(r) for r in leakage.leaks(clashing(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    found = leakage.leaks(clashing(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in found}
+    assert all(r["exact"] for r in found) and len(found) == len(got)
+    fuzzy = leakage.leaks(clashing(spark, docs), spark.createDataFrame(items, "item_id long, text string"), edits=1).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in fuzzy if r["exact"]} == got
     want = set()
     for d, t in docs:
         for i, x in items:
@@ -216,7 +220,8 @@ def test_fuzzy_windows_reach_the_recall():
         changed = [*b]
         changed[RNG.randrange(12)] = "zz"
         flat = words.word_hashes(" ".join(changed))
-        rows, items = index.find(flat, np.array([0, len(flat)]))
+        rows, items, exact = index.find(flat, np.array([0, len(flat)]))
+        assert not exact.any()
         hit += i in items
     assert hit >= 0.9 * len(base)
 
@@ -236,6 +241,17 @@ def test_fuzzy_windows_with_a_word_more_or_less(length, kind):
     assert hit >= 0.9 * len(base)
 
 
+def test_no_window_within_the_edits_is_left_out_before_the_walk():
+    for length in (1, 2, 3, 7, 12):
+        base = [RNG.sample(VOCABULARY, length) for _ in range(60)]
+        index = leakage.ItemIndex([(i, " ".join(b)) for i, b in enumerate(base)], 12, 1, 0.95)
+        (_, _, _, _, parts), k = index.tables[0], RNG.randrange(length)
+        for b in base:
+            for changed in ([*b[:k], "zz", *b[k + 1 :]], [*b[:k], "zz", *b[k:]], [*b[:k], *b[k + 1 :]], b):
+                flat = words.word_hashes(" ".join(["yy", *changed, "xx"]))
+                assert length < 2 or 1 in index.near(flat, np.arange(len(flat)), parts, {})
+
+
 def test_distance_of_unequal_lengths():
     for n, m in ((8, 7), (7, 8), (8, 6), (5, 8)):
         a = np.array([[RNG.randrange(3) for _ in range(n)] for _ in range(200)])
