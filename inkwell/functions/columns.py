@@ -55,7 +55,7 @@ def word_count(c: Column | str) -> Column:
 
 
 def normalize(c: Column | str, variant: str = "v2") -> Column:
-    """Text normalization without entities: v2 collapses white space; v1 also drops numeric
+    """Text normalization, entities left as they are (``xmltext.unescape`` before it expands them): v2 collapses white space; v1 also drops numeric
     citations (after collapsing, so that two spaces may remain) and splits glued headings. Null gives ''."""
     flat = F.regexp_replace(F.coalesce(col(c), F.lit("")), f"{U}{SPACE}+", " ")
     if variant == "v2":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -27,3 +28,17 @@ def with_token_count(df: DataFrame, text: str, name: str = WORDS, make: Callable
 
     tokens: Column = run(F.col(text))
     return df.withColumns({"tokens": tokens, "tokenizer": F.lit(name)})
+
+
+def byte_pair_counter(path: str, pattern: str) -> Callable[[], Callable[[str], int]]:
+    """``make`` for a byte-pair vocabulary file of lines "base64 rank", which the driver reads: the exact count of its tokens."""
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+    def make() -> Callable[[str], int]:
+        import tiktoken
+
+        of = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return lambda text: len(of.encode_ordinary(text))
+
+    return make

@@ -81,6 +81,9 @@ UNION ALL SELECT 'issns', '{BASE} AND (' || string_agg('ISSN:"' || i || '"', ' O
     "q_full_text_v2": f"SELECT k AS pmcid, md5(CASE WHEN right(k, 1) IN ('2', '7') THEN {PAGE} ELSE {ABOUT} END) AS digest FROM ({PMCIDS}) WHERE right(k, 1) NOT IN ('0', '1', '5')",
     "q_xml_article_v1": xml_article(NORM_V1, RESULTS, "'Preferences', 'kept in v1'"),
     "q_xml_article_v2": xml_article(NORM_V2, RESULTS, "'Loose paragraph', 'Appendix', n"),
+    "q_entities_v1": f"SELECT doc_id, md5({NORM_V1}) AS digest FROM documents",
+    "q_entities_v2": f"SELECT doc_id, md5({NORM_V2}) AS digest FROM documents",
+    "q_embed_corpus": "SELECT chunk_id, 'hashed-16' AS embedding_model, count(*) AS rows FROM embedded_chunk c WHERE NOT EXISTS (SELECT 1 FROM embedded_chunk e WHERE e.chunk_id = c.chunk_id AND e.embedding IS NOT NULL AND e.embedding_model = 'lit-embed-64') GROUP BY chunk_id",
     "q_build_v1": f"WITH {LANDED} SELECT id, pmcid, coalesce(nullif(CASE WHEN rec_no % 3 = 0 THEN '' ELSE journal END, ''), CASE WHEN first IS NOT NULL THEN 'Filled' END) AS journal, pub_year, coalesce(is_open_access, false) AS is_open_access, first IS NOT NULL AS has_full_text, CASE WHEN first IS NOT NULL THEN 'corpus/' || coalesce(pub_year, 'unknown') || '/' || {BASE_V1} || '.txt' END AS text_path, count(*) AS rows FROM b GROUP BY ALL",
     "q_build_v2": f"WITH {LANDED} {passed('', 'kw1')}",
     "q_build_issn": f"WITH {LANDED} {passed('WHERE journal IN (SELECT journal FROM (SELECT journal, unnest(issns) AS i FROM journal_dim WHERE tier = ' + text('tier1') + ') WHERE trim(i) <> ' + text('') + ')', 'kw2')}",

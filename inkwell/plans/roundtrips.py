@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions import columns as c
+from inkwell.functions.tokens import byte_pair_counter, with_token_count
 from inkwell.functions.vocab import JOURNALS, KEYWORD_SETS
-from inkwell.functions.xmltext import read_xml
+from inkwell.functions.xmltext import read_xml, unescape
 from inkwell.operators import articles, embed, relevance, stats
 from inkwell.plans import pipelines
 from inkwell.plans.queries import _combined, documents, index, metadata, results
@@ -19,6 +20,9 @@ from inkwell.sources import jsonl, rest, sinks, text
 from inkwell.sources.local_index import LocalIndex, numbered_texts
 from inkwell.streaming import incremental
 
+#: Where the driver finds vocabulary files, and, a fixed value, the pattern they are given with.
+VOCABULARIES = "/opt/tokenizers"
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+"
 ADDRESS = "http://localhost/search"
 #: Not to be expanded twice: an escaped entity inside the escaped text of an element.
 FIXTURE = ("<article xmlns='urn:a'><front><journal-title>J &amp; K</journal-title><article-title>Title &amp;amp; rest</article-title><abstract>", "</abstract><abstract>Second <i>abstract</i></abstract></front><body><sec><title>Results</title><p>", "</p><list><list-item>First item</list-item><li>Other item</li></list><sec><title>Nested part</title><p>Deep words</p></sec></sec><sec><title>References</title><p>gone</p><sec><title>Also</title><p>gone too</p></sec></sec><sec><title>Preferences</title><p>kept in v1</p></sec><p>Loose paragraph</p></body><back><sec><title>Appendix</title><p>", "</p></sec></back></article>")
@@ -99,6 +103,20 @@ def q_full_text_v2(spark: SparkSession, folder: str) -> DataFrame:
     return _full_texts(spark, folder, "v2")
 
 
+def _entities(spark: SparkSession, folder: str, variant: str) -> DataFrame:
+    """Texts escaped once, entities expanded, normalized: as if never escaped."""
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&#60;")), F.lit("é"), F.lit("&eacute;"))
+    return documents(spark, folder).select("doc_id", F.md5(c.normalize(unescape(escaped), variant).cast("binary")).alias("digest"))
+
+
+def q_entities_v1(spark: SparkSession, folder: str) -> DataFrame:
+    return _entities(spark, folder, "v1")
+
+
+def q_entities_v2(spark: SparkSession, folder: str) -> DataFrame:
+    return _entities(spark, folder, "v2")
+
+
 def fixture_xml(text: str = "text") -> Column:
     """An article with entities, two abstracts, lists, nested, skipped and back sections, around a text."""
     own = F.replace(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("&"), F.lit(" and ")), F.lit("<"), F.lit("&lt;"))
@@ -291,6 +309,21 @@ def q_embedding_appends(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(target).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def q_embed_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """What has no vector of the model yet, embedded."""
+    chunks = read(spark, folder, "embedded_chunk").select("chunk_id", "text", "embedding", "embedding_model")
+    known = chunks.where("embedding is not null and embedding_model = 'lit-embed-64'")
+    made = pipelines.embed_corpus(chunks.select("chunk_id", "text"), known, embed.hashed_provider, "hashed-16")
+    return made.groupBy("chunk_id", "embedding_model").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def q_chunk_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics of all chunks by year and kind, in tokens of a public byte-pair vocabulary."""
+    make = byte_pair_counter(f"{VOCABULARIES}/byte_bpe_50k.tiktoken", PATTERN)
+    counted = lambda chunks: with_token_count(chunks, "text", "byte_bpe_50k", make)
+    return pipelines.chunk_statistics(_combined(spark, folder), counted, limit=250)[0]
+
+
 def q_embed_values(spark: SparkSession, folder: str) -> DataFrame:
     """The vectors themselves, under a provider that gives the length of what it is sent and whether a line break is in it."""
 

@@ -16,9 +16,15 @@ def write_metadata(records: DataFrame, everything: str, matching: str, *, mode:
     once.where(F.col(flag)).write.mode(mode).json(matching)
 
 
-def write_by_year(rows: DataFrame, path: str, *, year: str = "year", order: list[str] | None = None, format: str = "json", overwrite_years: bool = True) -> None:
-    """A directory a year; only the years in ``rows`` are replaced. Rows without a year go to the default directory."""
-    out = rows.sortWithinPartitions(year, *order) if order else rows
+def write_by_year(rows: DataFrame, path: str, *, year: str = "year", order: list[str] | None = None, format: str = "json", overwrite_years: bool = True, files: int = 1) -> None:
+    """A directory a year with up to ``files`` files; only the years in ``rows`` are replaced.
+
+    Rows without a year go to the default directory. Rows are brought together by year, and a year that holds
+    much of them is shared out over its files.
+    """
+    lot = F.pmod(F.xxhash64(*(order or [c for c in rows.columns if c != year])), F.lit(files))
+    out = rows.repartition(F.col(year), lot)
+    out = out.sortWithinPartitions(year, *order) if order else out
     writer = out.write.partitionBy(year).option("partitionOverwriteMode", "dynamic").mode("overwrite" if overwrite_years else "append")
     writer.format(format).save(path)
 

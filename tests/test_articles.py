@@ -197,6 +197,19 @@ def test_full_texts(spark):
     assert sorted(r["pmcid"] for r in rest.full_texts(own, "http://x/{pmcid}", transport=numbered_texts, wait=0).collect()) == ["PMC2", "PMC3"]
 
 
+def test_byte_pair_counts(spark, tmp_path):
+    pytest.importorskip("tiktoken")
+    import base64
+
+    from inkwell.functions import tokens
+
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abc": 257}
+    (tmp_path / "v").write_text("\n".join(f"{base64.b64encode(t).decode()} {r}" for t, r in ranks.items()))
+    df = spark.createDataFrame([("abcab a",), ("",), (None,)], "text string")
+    got = tokens.with_token_count(df, "text", "own", tokens.byte_pair_counter(str(tmp_path / "v"), r" ?[a-z]+"))
+    assert sorted(r["tokens"] for r in got.collect()) == [0, 0, 4] and {r["tokenizer"] for r in got.collect()} == {"own"}
+
+
 def test_batch_numbers(spark):
     df = spark.createDataFrame([(f"k{i:03d}",) for i in range(120)], "k string")
     got = {r["k"]: r["batch"] for r in embed.numbered(df, "k", 50).collect()}
