@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.vocab import SKIPPED_SECTIONS_V1, SKIPPED_SECTIONS_V2, minimal_terms
 
-SPACE = r"[\s\x1c-\x1f]"
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 U = "(?U)"
 
 
@@ -36,18 +36,17 @@ def first_truthy(*cols: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), f"{U}^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(col(c), f"^{SPACE}+|{SPACE}+$", "")
 
 
 def collapse(c: Column | str) -> Column:
     """Runs of white space to one space, ends stripped."""
-    return F.trim(F.regexp_replace(col(c), f"{U}{SPACE}+", " "))
+    return F.trim(F.regexp_replace(col(c), f"{SPACE}+", " "))
 
 
 def words(c: Column | str) -> Column:
     """The words between white space; an empty array for a null or blank text."""
-    flat = collapse(F.coalesce(col(c), F.lit("")))
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+    return F.array_remove(F.split(F.coalesce(col(c), F.lit("")), f"{SPACE}+"), "")
 
 
 def word_count(c: Column | str) -> Column:
@@ -57,7 +56,7 @@ def word_count(c: Column | str) -> Column:
 def normalize(c: Column | str, variant: str = "v2") -> Column:
     """Text normalization, entities left as they are (``xmltext.unescape`` before it expands them): v2 collapses white space; v1 also drops numeric
     citations (after collapsing, so that two spaces may remain) and splits glued headings. Null gives ''."""
-    flat = F.regexp_replace(F.coalesce(col(c), F.lit("")), f"{U}{SPACE}+", " ")
+    flat = F.regexp_replace(F.coalesce(col(c), F.lit("")), f"{SPACE}+", " ")
     if variant == "v2":
         return F.trim(flat)
     flat = F.trim(F.regexp_replace(flat, r"\[[0-9,\-–  ]+\]", ""))
@@ -103,7 +102,7 @@ def year_full(*cols: Column | str) -> Column:
 
 
 def looks_like_html(c: Column | str) -> Column:
-    head = F.lower(F.substring(F.regexp_replace(F.coalesce(col(c), F.lit("")), f"{U}^{SPACE}+", ""), 1, 200))
+    head = F.lower(F.substring(F.regexp_replace(F.coalesce(col(c), F.lit("")), f"^{SPACE}+", ""), 1, 200))
     return head.startswith("<!doctype html") | head.startswith("<html")
 
 

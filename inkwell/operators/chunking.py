@@ -6,28 +6,39 @@ is shuffled. Null, empty and blank texts give no chunk. Texts of any length are
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.functions.columns import SPACE, U, col, collapse, strip, words
+from inkwell.functions.columns import SPACE, col, collapse, strip, words
 
 STATE = "struct<done:array<string>,open:array<string>,held:int>"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often ``use`` names it and from within which functions."""
+    return F.transform(F.array(value), use)[0]
+
+
 def word_windows(text: Column | str, target: int, overlap: int) -> Column:
     """Windows of ``target`` words, each beginning ``overlap`` words before the end of the last; the last ends with the text."""
     if not 0 <= overlap < target:
         raise ValueError("overlap must be less than target, and neither negative")
-    w = words(text)
     step = target - overlap
-    last = F.greatest(F.lit(0), F.ceil((F.size(w) - target) / F.lit(step)).cast("int"))
-    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * step + 1, F.lit(target)), " "))
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(windows)
+
+    def windows(w: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(w) - target) / F.lit(step)).cast("int"))
+        cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * step + 1, F.lit(target)), " "))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(cut)
+
+    return once(words(text), windows)
 
 
 def blocks(w: Column, target: int) -> Column:
     """An array of words in blocks of ``target``."""
-    return F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / F.lit(target)).cast("int")), lambda i: F.array_join(F.slice(w, i * target + 1, F.lit(target)), " "))
+    cut = lambda own: F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / F.lit(target)).cast("int")), lambda i: F.array_join(F.slice(own, i * target + 1, F.lit(target)), " "))
+    return once(w, cut)
 
 
 def paragraphs(text: Column | str, variant: str = "full") -> Column:
@@ -36,7 +47,7 @@ def paragraphs(text: Column | str, variant: str = "full") -> Column:
     if variant == "full":
         t = strip(F.regexp_replace(t, "\r\n?", "\n"))
     tidy = collapse if variant == "full" else strip
-    return F.filter(F.transform(F.split(t, f"{U}\n{SPACE}*\n+"), tidy), lambda p: p != "")
+    return F.filter(F.transform(F.split(t, f"\n{SPACE}*\n+"), tidy), lambda p: p != "")
 
 
 def _fold(parts: Column, huge: int, step) -> Column:
@@ -81,10 +92,13 @@ class _Bridged(_Plain):
 
     def bridge(self, s: Column) -> Column:
         last = F.element_at(s["open"], -1)
-        w = words(last)
-        # an overlap of 0 takes the whole paragraph behind the mark
-        tail = F.slice(w, -self.overlap, self.overlap) if self.overlap else w
-        return F.when(F.size(w) > self.overlap, F.concat(F.lit("[...] "), F.array_join(tail, " "))).otherwise(last)
+
+        def lead(w: Column) -> Column:
+            # an overlap of 0 takes the whole paragraph behind the mark
+            tail = F.slice(w, -self.overlap, self.overlap) if self.overlap else w
+            return F.when(F.size(w) > self.overlap, F.concat(F.lit("[...] "), F.array_join(tail, " "))).otherwise(last)
+
+        return once(words(last), lead)
 
 
 def grouped_paragraphs(text: Column | str, target: int) -> Column:
