@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from inkwell.llm.prefixes import Counts, Ranks, bits_for, classes, counted, named_by, near_enough, only, prefix_rows, ranks_of, sendable, sized, touched, verified
 from inkwell.llm.trie_join import candidate_pairs
 from inkwell.llm.words import format_characters, shingle_sets
-from inkwell.runtime import bounded_rows, is_small, written
+from inkwell.runtime import MOST_SENT, bounded_rows, is_small, written
 
 NUMBER = re.compile(r"\d{5,}")
 ORDER = "bits int, blocks array<binary>, order_bits int, ranks binary, seen long, ordered long"
@@ -50,6 +50,8 @@ ORDER = "bits int, blocks array<binary>, order_bits int, ranks binary, seen long
 DECIDED = 2_000_000
 #: A turn over a backlog takes this many times the records of all turns before it.
 GROWTH = 8
+#: A turn costs some seconds however few its records are, so none but the last is smaller.
+LEAST_TURN = 1000
 
 
 def named(value: str | None, column: str) -> str | None:
@@ -150,6 +152,8 @@ def decided(several: DataFrame, rejected: DataFrame) -> DataFrame:
 
 def resolve(incidence: DataFrame, rejected: DataFrame) -> DataFrame:
     """As ``decided``, for any number of rows: rounds over all tasks until one task can decide the rest."""
+    if is_small(incidence, DECIDED):
+        return decided(incidence, rejected)
     shared = incidence.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("key")
     several = written(incidence.join(shared, "key", "left_semi"), "keys")
     if is_small(several, DECIDED):
@@ -179,8 +183,8 @@ def check_batch(batch: DataFrame, history: History | None = None, *, rec: str =
     spark = batch.sparkSession
     sets = written(shingle_sets(batch, rec, abstract, width=width, least_words=least_words), "sets")
     members = classes(sets)
-    reps = only(sets, members.where("rec <> rep").select("rec"), "left_anti")
     own, grams, parts = sized(sets)
+    reps = only(sets, members.where("rec <> rep").select("rec"), "left_anti", own <= MOST_SENT)
     seen = own + (history.seen if history else 0)
     anew = history is None or seen >= 2 * history.ordered
     if history is None:
@@ -228,8 +232,7 @@ def check_batch(batch: DataFrame, history: History | None = None, *, rec: str =
 def turns(batches: DataFrame, rec: str, batch: str) -> list[int | None]:
     """The last rec of each turn over a backlog of batches; None for the last turn, which takes the rest.
 
-    The first turn takes the first batch, each later one batches until it holds ``GROWTH`` times the records
-    before it, so that reading the history once a turn costs a constant share of all work. Batches whose
+    A turn takes batches until it holds ``GROWTH`` times the records before it and ``LEAST_TURN`` at least, so that reading the history once a turn costs a constant share of all work. Batches whose
     recs overlap go together; rows without a batch go where their rec falls.
     """
     spans = bounded_rows(batches.where(F.col(batch).isNotNull()).groupBy(batch).agg(F.min(rec).alias("low"), F.max(rec).alias("high"), F.count(rec).alias("rows")), 100_000, "the table of batches")
@@ -240,7 +243,7 @@ def turns(batches: DataFrame, rec: str, batch: str) -> list[int | None]:
     for k, (low, top, rows) in enumerate(spans):
         high = top if high is None else max(high, top)
         own += rows
-        if k + 1 < len(spans) and high < spans[k + 1][0] and own >= GROWTH * before:
+        if k + 1 < len(spans) and high < spans[k + 1][0] and own >= max(LEAST_TURN, GROWTH * before):
             ends.append(high)
             before, own = before + own, 0
     return [*ends, None]

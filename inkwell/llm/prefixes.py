@@ -63,9 +63,12 @@ def sendable(recs: DataFrame) -> DataFrame:
     return F.broadcast(recs) if is_small(recs) else recs
 
 
-def only(sets: DataFrame, recs: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The sets with (or, "left_anti", without) a rec in ``recs``: sent to all executors if few, else joined by rec."""
-    return sets.join(sendable(recs), "rec", how)
+def only(sets: DataFrame, recs: DataFrame, how: str = "left_semi", few: bool = False) -> DataFrame:
+    """The sets with (or, "left_anti", without) a rec in ``recs``: sent to all executors if few, else joined by rec.
+
+    ``few`` says that they are known to be few, and spares the count.
+    """
+    return sets.join(F.broadcast(recs) if few else sendable(recs), "rec", how)
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:

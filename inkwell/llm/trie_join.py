@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.prefixes import bits_for, by_part, classes, counted, near_enough, only, prefix_rows, ranks_of, sized, unpacked, verified
 from inkwell.llm.words import shingle_sets
-from inkwell.runtime import written
+from inkwell.runtime import MOST_SENT, written
 
 AT_ONCE = 1 << 20
 FOUND = "a long, b long, old boolean"
@@ -146,8 +146,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, *, num: int = 3, den: in
     """
     sets = written(shingle_sets(df, key, text, width=width, least_words=least_words), "sets")
     members = classes(sets)
-    reps = only(sets, members.where("rec <> rep").select("rec"), "left_anti")
-    _, grams, parts = sized(sets)
+    number, grams, parts = sized(sets)
+    reps = only(sets, members.where("rec <> rep").select("rec"), "left_anti", number <= MOST_SENT)
     seen = ranks_of(counted(sets, bits_for(grams)))
     sent = df.sparkSession.sparkContext.broadcast((seen, seen))
     pairs = candidate_pairs(prefix_rows(reps, sent, parts, num, den), parts, num, den)

@@ -122,8 +122,10 @@ def accepted_in_order(rows):
     return sorted(cases)
 
 
-def test_backlog_in_turns(spark, texts):
+def test_backlog_in_turns(spark, texts, monkeypatch):
     """Turns over a backlog, with the order taken anew, give what one call and the definition give."""
+    monkeypatch.setattr(history, "LEAST_TURN", 1)
+    monkeypatch.setattr(history, "GROWTH", 3)
     rows = records(texts, 400)
     df = spark.createDataFrame([(*r, r[0] // 9 if r[0] % 50 else None) for r in rows], META + ", batch_no int")
     assert len(history.turns(df, "rec_no", "batch_no")) > 2
