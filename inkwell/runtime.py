@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,6 +44,15 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Drop the shuffle files and broadcasts of what is done, between the turns of a long run.
+
+    The engine's cleaner acts on what the driver's garbage collectors find, which by themselves run seldom.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def bounded_rows(df: DataFrame, most: int, what: str) -> list:
     """Collect a table that must not grow, failing if it holds more than ``most`` rows."""
     rows = df.limit(most + 1).collect()
