@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from inkwell.llm.prefixes import Counts, Ranks, bits_for, classes, counted, named_by, near_enough, only, prefix_rows, ranks_of, sendable, sized, touched, verified
 from inkwell.llm.trie_join import candidate_pairs
 from inkwell.llm.words import format_characters, shingle_sets
-from inkwell.runtime import MOST_SENT, bounded_rows, is_small, written
+from inkwell.runtime import MOST_SENT, bounded_rows, is_small, release, written
 
 NUMBER = re.compile(r"\d{5,}")
 ORDER = "bits int, blocks array<binary>, order_bits int, ranks binary, seen long, ordered long"
@@ -182,7 +182,7 @@ def check_batch(batch: DataFrame, history: History | None = None, *, rec: str =
     """
     spark = batch.sparkSession
     sets = written(shingle_sets(batch, rec, abstract, width=width, least_words=least_words), "sets")
-    members = classes(sets)
+    members = written(classes(sets), "members")
     own, grams, parts = sized(sets)
     reps = only(sets, members.where("rec <> rep").select("rec"), "left_anti", own <= MOST_SENT)
     seen = own + (history.seen if history else 0)
@@ -261,4 +261,5 @@ def check_backlog(batches: DataFrame, *, rec: str = "rec_no", batch: str = "batc
             more.keys, more.sets = history.keys.unionByName(more.keys), history.sets.unionByName(more.sets)
             more.segments = more.segments if checked.reordered else history.segments.unionByName(more.segments)
         history = more
+        release(batches.sparkSession)
     return found

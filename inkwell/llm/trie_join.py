@@ -145,7 +145,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, *, num: int = 3, den: in
     integral; rows with a null key are left out. Other columns are not read, whatever their names.
     """
     sets = written(shingle_sets(df, key, text, width=width, least_words=least_words), "sets")
-    members = classes(sets)
+    members = written(classes(sets), "members")
     number, grams, parts = sized(sets)
     reps = only(sets, members.where("rec <> rep").select("rec"), "left_anti", number <= MOST_SENT)
     seen = ranks_of(counted(sets, bits_for(grams)))
