@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import hash_forest, history, leakage, lookalike, packing, tokens, trie_join
-from inkwell.runtime import bounded_rows, delete_at_end, read, shared_folder, written
+from inkwell.runtime import bounded_rows, delete_at_end, read, release, shared_folder, written
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,6 +109,7 @@ def p2_last_batch(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{shared_folder(spark)}/inkwell-history-{uuid.uuid4().hex}"
     delete_at_end(spark, path)
     history.check_batch(meta.where(F.col("batch_no") < last)).save(path, "overwrite")
+    release(spark)
     found = history.check_batch(meta.where(F.col("batch_no") == last), history.History.load(spark, path)).cases
     return found.select(F.col("a").alias("rec_no_a"), F.col("b").alias("rec_no_b"))
 
